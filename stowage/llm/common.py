@@ -152,3 +152,37 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         links = written(small.where("u <> v").distinct(), name)
     return links.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+
+
+def per_text(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list[str]], list[list]]]) -> DataFrame:
+    """One row per row of ``df``: the id as doc_id and what ``make()`` gives for each whole text (null
+    counts as empty). ``make`` runs once a task; its function gets texts and returns columns."""
+    import pyspark.sql.types as T
+
+    spark = prepared(df.sparkSession)
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
+    out = T.StructType([T.StructField("doc_id", T.LongType()), *T._parse_datatype_string(schema).fields])
+    arrow = arrow_schema(out)
+
+    def run(stream):
+        work = make()
+        for batch in stream:
+            texts = ["" if x is None else x for x in column(batch, "body").to_pylist()]
+            made = work(texts)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), *(pa.array(x, f.type) for x, f in zip(made, list(arrow)[1:], strict=True))], schema=arrow)
+
+    return source.mapInArrow(run, out)
+
+
+class BoundedCache(dict):
+    """A cache that forgets everything at ``most`` entries, so that any vocabulary fits in a worker."""
+
+    def __init__(self, make: Callable, most: int = 300_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
