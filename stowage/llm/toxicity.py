@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import BoundedCache, column, per_text, prepared
+from stowage.llm.kernels import minhash, shingle_sets
 
 GRAM = 5
 BLOCK = 64
+SIGNATURE = 32
 
 
 def terms_of(chunk: str) -> tuple[str, ...]:
@@ -115,6 +117,22 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[2] for p in pools]), np.array([p[0] for p in pools])
 
 
+def _unlike(signed: list[tuple[int, bytes | None]]) -> list[int]:
+    """The ids, ascending, of rows whose MinHash signature shares under a third of its symbols with that
+    of each row that is taken before."""
+    kept, held = [], np.zeros((len(signed), SIGNATURE), np.uint16)
+    n = 0
+    for i, sig in sorted(signed, key=lambda r: r[0]):
+        if sig is not None:
+            own = np.frombuffer(sig, np.uint16)
+            if n and ((held[:n] == own).sum(axis=1) * 3 >= SIGNATURE).any():
+                continue
+            held[n] = own
+            n += 1
+        kept.append(i)
+    return kept
+
+
 def _held_out(id_col) -> F.Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -135,7 +153,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     empty = ToxicityModel({}, np.zeros(0), BlockMaxIndex(np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.zeros(0)), k, 1.0, np.array([0.0]), np.array([0.0]))
     if len(set(label.values())) < 2:
         return empty
-    sample = texts.join(F.broadcast(spark.createDataFrame(rows, "id long, y int")), "id").dropDuplicates(["id"]).persist()
+    drawn = texts.join(F.broadcast(spark.createDataFrame(rows, "id long, y int")), "id").dropDuplicates(["id"]).persist()
+
+    def signatures(stream):
+        for batch in stream:
+            signed = [minhash(s, SIGNATURE).tobytes() if len(s) else None for s in shingle_sets(column(batch, "body"), 2)]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(signed, pa.binary())], names=["id", "sig"])
+
+    # Copies of one text would pass its chance words off as signs of its label: one of each group stays.
+    single = _unlike([(r["id"], r["sig"]) for r in drawn.mapInArrow(signatures, "id long, sig binary").collect()])
+    label = {i: label[i] for i in single}
+    sample = drawn.join(F.broadcast(spark.createDataFrame([(i,) for i in single], "id long")), "id").persist()
+    if len(set(label.values())) < 2:
+        return empty
 
     def seen(batch, cache) -> list[set[str]]:
         return [set().union(*map(cache.__getitem__, set((x or "").split()))) for x in column(batch, "body").to_pylist()]
@@ -175,13 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = sample.mapInArrow(exact, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= few)
     # chi-squared in SQL, so that only the best terms reach the driver
     a, b, c, d = F.col("toxic"), F.col("clean"), F.lit(n[1]) - F.col("toxic"), F.lit(n[0]) - F.col("clean")
-    chi = F.pow((a * d - b * c).cast("double"), 2) / ((a + b) * (c + d) * F.lit(float(n[1])) * F.lit(float(n[0])))
+    chi = F.lit(float(sum(n))) * F.pow((a * d - b * c).cast("double"), 2) / ((a + b) * (c + d) * F.lit(float(n[1])) * F.lit(float(n[0])))
     # A term that meets the label by chance (a million are tried) would make clean texts neighbours of toxic ones.
     odds = (a + 0.5) * (n[0] + 1) >= 4 * (b + 0.5) * (n[1] + 1)
     best = found.where((c + d > 0) & odds).withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(vocabulary).collect()
     words = {r["term"]: i for i, r in enumerate(best)}
     if not words:
-        sample.unpersist()
         return empty
     total = sum(n)
     idf = np.array([math.log(1 + total / (r["clean"] + r["toxic"])) for r in best])
@@ -194,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sample.mapInArrow(vectors, "id long, terms array<int>, counts array<int>").collect()
     sample.unpersist()
+    drawn.unpersist()
     model = ToxicityModel(words, idf, empty.index, k, 0.5, np.array([0.0]), np.array([0.0]))
     sparse = [(r["id"], *model.vector(dict(zip(r["terms"], r["counts"], strict=True)))) for r in got]
     # Alike vectors come together: by their heaviest terms, then by id.
