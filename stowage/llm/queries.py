@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stowage.llm.bpe import bpe_digest
 from stowage.llm.common import read_table
 from stowage.llm.exact import exact_classes
+from stowage.llm.packing import pack
 from stowage.llm.secrets import secret_spans
 from stowage.llm.tokencount import token_counts
 from stowage.llm.topk import top_k
@@ -33,6 +34,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(read_table(spark, sf_dir, "documents"))
 
