@@ -90,7 +90,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
     out[whole] = rolled[source[whole]]
     for row in short:
         own = words[bounds[row] : bounds[row + 1]]
-        out[out_bounds[row]] = (own * _ROLE[: len(own)]).sum(dtype=np.uint64) + _ROLE[40 + len(own)]
+        out[out_bounds[row]] = np.append(own * _ROLE[: len(own)], _ROLE[40 + len(own)]).sum(dtype=np.uint64)
     return mix(out), out_bounds
 
 
