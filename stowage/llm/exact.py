@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import Bits, bits_of, column, groups, prepared, written
+from stowage.llm.common import LOWER, UPPER, Bits, bits_of, column, groups, prepared, written
 from stowage.llm.kernels import flat
 
 
@@ -162,8 +162,12 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: of equal texts (see exact_classes) the row
     with the largest id. Rows that agree in id and text are one row."""
-    keep = exact_classes(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep_id"), F.unhex("text_sha256").alias("__keep_sha"))
-    sha = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
+    classes = written(exact_classes(df, id_col, text_col).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"), "kept")
+    pairs = classes.groupBy("doc_id", "sha").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    gone = pairs.where(~F.col("stays")).select(F.col("doc_id").alias("__gone_id"), F.col("sha").alias("__gone_sha"))
+    sha = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256))
     rows = df.withColumn("__own_sha", sha)
-    joined = rows.join(keep, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__own_sha") == F.col("__keep_sha")), "left_semi")
-    return joined.dropDuplicates([id_col, "__own_sha"]).drop("__own_sha")
+    stay = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__own_sha") == F.col("__gone_sha")), "left_anti")
+    if not pairs.where("stays and n > 1").isEmpty():  # rows that agree in id and text
+        stay = stay.dropDuplicates([id_col, "__own_sha"])
+    return stay.drop("__own_sha")
