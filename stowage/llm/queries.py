@@ -11,6 +11,7 @@ from stowage.llm.bpe import bpe_digest
 from stowage.llm.common import read_table
 from stowage.llm.exact import exact_classes
 from stowage.llm.html import extract
+from stowage.llm.lines import line_report
 from stowage.llm.neardup import near_classes
 from stowage.llm.packing import pack
 from stowage.llm.secrets import secret_spans
@@ -19,6 +20,10 @@ from stowage.llm.topk import top_k
 from stowage.llm.toxicity import fit, toxicity
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(read_table(spark, sf_dir, "documents"))
 
