@@ -135,8 +135,8 @@ def bits_of(df: DataFrame, key: str, log_bits: int = 23) -> Bits:
 
 
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
-    """(node, root): the smallest node that each node of the edges can reach, by alternating large and
-    small stars. Each half step is a min by key and a join back, so that a hub's links are never
+    """(node, root): the smallest node that each node of the edges can reach, for all nodes but those
+    that are it themselves, by alternating large and small stars. Each half step is a min by key and a join back, so that a hub's links are never
     gathered; each round is written, so that lineage stays short."""
     links = written(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), name)
     before = None

@@ -265,7 +265,8 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs = written(laid.mapInArrow(verify, "a binary, b binary").distinct(), "pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n_links"))
-    roots = components(pairs, "a", "b", "line-links").join(links.withColumnRenamed("line", "node"), "node")
+    found = components(pairs, "a", "b", "line-links")
+    roots = links.join(found, links["line"] == found["node"], "left").select(F.col("line").alias("node"), F.coalesce("root", "line").alias("root"), "n_links")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "document", "line_no")
     counted = lines.where("line is not null").groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     classed = counted.join(roots, counted["line"] == roots["node"], "left").select("line", "first", "n", F.coalesce("root", "line").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
