@@ -56,10 +56,11 @@ class Page:
         role = found.get("role", "").lower()
         words = set(re.split(r"[^a-z]+", names)) - {""} if not names.isspace() else set()
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        mark = ".".join([tag, *sorted(names.split()), *([role] if role else [])])
+        number_free = re.sub(r"\d+", "", found.get("id", "").lower())  # an id often numbers its page
+        mark = ".".join([tag, *sorted(found.get("class", "").lower().split()), *([f"#{number_free}"] if number_free else []), *([role] if role else [])])
         n = len(self.tag)
         self.tag.append(tag)
-        self.sign.append(re.sub(r"[\s>\d]+", "", mark))
+        self.sign.append(re.sub(r"[\s>]+", "", mark))
         self.parent.append(at)
         self.inside.append([])
         self.noise.append(hidden or tag in _NO_ARTICLE or role in _ROLES or bool(words & _CUES))

@@ -59,25 +59,27 @@ def labelled_samples(each: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
 
 
 class Markov:
-    """Two character models of order 2 with additive smoothing, trained from (string, label) samples."""
+    """Two character models of order 2, trained from (string, label) samples: each order is smoothed by
+    the one below it, down to one flat choice of characters."""
 
-    def __init__(self, samples: Iterable[tuple[str, int]], smoothing: float = 0.05):
-        self.alphabet = sorted(set("+/-_=0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        counts: list[dict[str, float]] = [{}, {}]
-        totals: list[dict[str, float]] = [{}, {}]
+    def __init__(self, samples: Iterable[tuple[str, int]], weight: float = 4.0):
         samples = list(samples)
+        flat = 1 / 66  # letters, digits and + / _ =
+        counts: list[dict[str, int]] = [{}, {}]  # of grams, and of what stands before their last character
         for text, label in samples:
-            for i in range(2, len(text)):
-                gram = text[i - 2 : i + 1]
-                counts[label][gram] = counts[label].get(gram, 0) + 1
-                totals[label][gram[:2]] = totals[label].get(gram[:2], 0) + 1
-        n = len(self.alphabet)
-        flat = 1 / n
+            held = counts[label]
+            for i in range(len(text)):
+                for j in range(max(0, i - 2), i + 1):
+                    gram = text[j : i + 1]
+                    held[gram] = held.get(gram, 0) + 1
+                    held[gram[:-1] + "*"] = held.get(gram[:-1] + "*", 0) + 1
 
         def log(label: int, gram: str) -> float:
-            # The random model falls back on one flat choice of characters, the ordinary one on its letters.
-            seen, total = counts[label].get(gram, 0), totals[label].get(gram[:2], 0)
-            return math.log((seen + smoothing * n * flat * (8 if label else 1)) / (total + smoothing * n * (8 if label else 1)))
+            held, chance = counts[label], flat
+            for j in (2, 1, 0):
+                part = gram[j:]
+                chance = (held.get(part, 0) + weight * chance) / (held.get(part[:-1] + "*", 0) + weight)
+            return math.log(chance)
 
         self._ratio: dict[str, float] = {}
         self._log = log
