@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def prepared(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches, so that a batch of very long texts fits in a Python worker."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2048"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
-        try:
-            spark.conf.set(key, value)
-        except Exception as error:  # an older Spark knows no bound in bytes
-            if "maxBytes" not in key:
-                raise error
-    return spark
+from stowage.session import prepared, read_table, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares. Only where none is named (tests), one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="stowage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+__all__ = ["LOWER", "UPPER", "Bits", "BoundedCache", "arrow_schema", "bits_of", "column", "components", "groups", "longs", "per_text", "prepared", "read_table", "written"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -49,10 +25,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches(schema: str, df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(make, schema)
-
-
 def arrow_schema(df_schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
