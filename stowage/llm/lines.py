@@ -248,16 +248,16 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tested: dict[tuple[bytes, bytes], bool] = {}
         for run in groups(stream, ["key", "i", "j"]):
             digests, found, index = run["line"].to_pylist(), run["body"].to_pylist(), run["own"].to_pylist()
-            out = []
+            out, lengths = [], np.fromiter(map(len, found), np.int64, len(found))
             for p in [i for i, x in enumerate(index) if x]:
-                for q, b in enumerate(found):
-                    if p == q or index[q] and q < p or abs(len(b) - len(found[p])) > edits:
+                for q in np.flatnonzero(np.abs(lengths - lengths[p]) <= edits).tolist():
+                    if p == q or index[q] and q < p:
                         continue
                     pair = (min(digests[p], digests[q]), max(digests[p], digests[q]))
                     if pair not in tested:
                         if len(tested) > 200_000:
                             tested.clear()
-                        tested[pair] = within(found[p], b, edits)
+                        tested[pair] = within(found[p], found[q], edits)
                         if tested[pair]:
                             out.append(pair)
             if out:
