@@ -7,6 +7,7 @@ and marking readers nondeterministic (Catalyst would evaluate a deterministic on
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import pyarrow as pa
@@ -26,12 +27,32 @@ _ARROW = pa.struct([("rawlen", pa.int32()), ("level", pa.int8()), ("kind", pa.in
 _codecs: dict[str, Codec] = {}
 
 
+class CacheStats:
+    """Sums over all workers of what their codecs did: dictionary loads and evictions, hits and misses of
+    the decode cache, values encoded. A task that is run again counts again, as Spark's accumulators do."""
+
+    NAMES = ("loads", "evictions", "hits", "misses", "encodes")
+
+    def __init__(self, spark: SparkSession):
+        self.sums = {n: spark.sparkContext.accumulator(0) for n in self.NAMES}
+
+    def values(self) -> dict[str, int]:
+        return {n: a.value for n, a in self.sums.items()}
+
+    def add(self, counters) -> None:
+        for n, a in self.sums.items():
+            a.add(getattr(counters, n))
+            setattr(counters, n, 0)
+
+
 class Dictionaries:
-    """A snapshot of a registry for the executors; an action sees one snapshot throughout."""
+    """A snapshot of a registry for the executors; an action sees one snapshot throughout. With ``stats``
+    the workers report what their caches did."""
 
-    def __init__(self, registry: Registry | None = None, ids: set[int] | None = None):
+    def __init__(self, registry: Registry | None = None, ids: set[int] | None = None, stats: CacheStats | None = None):
         held = registry.snapshot(ids) if registry is not None else {}
-        self.token = uuid.uuid4().hex if held else ""
+        self.token = uuid.uuid4().hex if held or stats else ""
+        self.stats = stats
         self.sent = SparkSession.active().sparkContext.broadcast(held) if held else None
 
     def codec(self) -> Codec:
@@ -43,6 +64,24 @@ class Dictionaries:
         return _codecs[self.token]
 
 
+def counted(held: Dictionaries):
+    """Makes a kernel report its caches after each batch, if anyone asked."""
+
+    def around(kernel):
+        if held.stats is None:
+            return kernel
+
+        @functools.wraps(kernel)
+        def run(*arrays: pa.Array) -> pa.Array:
+            out = kernel(*arrays)
+            held.stats.add(held.codec().counters)
+            return out
+
+        return run
+
+    return around
+
+
 def _dictionaries(source: Registry | Dictionaries | None) -> Dictionaries:
     return source if isinstance(source, Dictionaries) else Dictionaries(source)
 
@@ -168,6 +207,7 @@ def unpack(c, kind: str = "text", registry: Registry | Dictionaries | None = Non
     number, held = _kind(kind), _dictionaries(registry)
 
     @F.arrow_udf("binary" if kind == "bytes" else "string")
+    @counted(held)
     def read(*arrays: pa.Array) -> pa.Array:
         codec = held.codec()
         out = [None if v is None else codec.decode(v, number) for v in stored_rows(arrays)]
@@ -211,6 +251,7 @@ def prefix(c, n: int, registry: Registry | Dictionaries | None = None) -> Column
     held = _dictionaries(registry)
 
     @F.arrow_udf("string")
+    @counted(held)
     def read(*arrays: pa.Array) -> pa.Array:
         codec = held.codec()
         return pa.array([None if v is None else codec.prefix(v, n) for v in stored_rows(arrays)], pa.string())
@@ -223,6 +264,7 @@ def validate(c, kind: str, registry: Registry | Dictionaries | None = None) -> C
     number, held = _kind(kind), _dictionaries(registry)
 
     @F.arrow_udf("string")
+    @counted(held)
     def check(*arrays: pa.Array) -> pa.Array:
         codec = held.codec()
         return pa.array([None if v is None else codec.validate(v, number) for v in stored_rows(arrays)], pa.string())
@@ -245,6 +287,7 @@ def _rewritten(c: Column, rows_to_do: Column, trust_kind: str | None, policy: Po
     level, number = policy.level, None if trust_kind is None else _kind(trust_kind)
 
     @F.arrow_udf(KERNEL_TYPE)
+    @counted(held)
     def kernel(*arrays: pa.Array) -> pa.Array:
         codec = held.codec()
         return packed_array([None if v is None else codec.encode(v.kind, codec.decode(v, number), level, dict_id) for v in stored_rows(arrays)])
@@ -328,6 +371,7 @@ def equality_key(c, kind: str = "text", registry: Registry | Dictionaries | None
     held = _dictionaries(registry)
 
     @F.arrow_udf("string")
+    @counted(held)
     def read(*arrays: pa.Array) -> pa.Array:
         codec = held.codec()
         return pa.array([None if v is None else jsonvalue.equality_key(jsonvalue.parse(codec.decode(v, KINDS["json"]).decode())) for v in stored_rows(arrays)], pa.string())
@@ -341,6 +385,7 @@ def packed_eq(a, b, kind: str = "text", registry: Registry | Dictionaries | None
     number, held = _kind(kind), _dictionaries(registry)
 
     @F.arrow_udf("boolean")
+    @counted(held)
     def same(*arrays: pa.Array) -> pa.Array:
         codec, out = held.codec(), []
         for x, y in zip(stored_rows(arrays[: len(LEAVES)]), stored_rows(arrays[len(LEAVES) :]), strict=True):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import datetime
 import json
+import time
 import warnings
 from dataclasses import dataclass
 
@@ -129,11 +130,20 @@ class Registry:
         for name in self.folder.names():
             if name.startswith("slot-") and name.endswith(".json"):
                 if name not in self._held:
-                    raw = json.loads(self.folder.read(name))
+                    raw = self._published(name)
                     self._held[name] = Entry(raw["slot"], raw["dict_id"], raw["name"], base64.b64decode(raw["dict"]), raw["trained_from"], raw["created_at"])
                 out.append(self._held[name])
         return sorted(out, key=lambda e: e.slot)
 
+    def _published(self, name: str) -> dict:
+        """A slot's file; one that another writer has only begun is read again."""
+        for _ in range(20):
+            try:
+                return json.loads(self.folder.read(name))
+            except ValueError:
+                time.sleep(0.1)
+        raise RegistryError("invalid", f"{name} is not a whole file")
+
     def _checked(self, name: str | None, data: bytes | None) -> int:
         if name is None or data is None:
             raise RegistryError("null", "a dictionary needs a name and bytes")

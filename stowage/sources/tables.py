@@ -192,3 +192,26 @@ def partitioned_read(spark: SparkSession, path: str, key: str, value, partitions
     part = F.pmod(F.xxhash64(F.lit(value)), F.lit(partitions)).cast("int")
     return spark.read.parquet(path).where((F.col("part") == part) & (F.col(key) == value))
 
+
+
+def probe_write(df: DataFrame, key: str, path: str, expected: int = 1_000_000) -> None:
+    """Writes the 64-bit hash of a plain key column beside the rows, with a Parquet bloom filter on it."""
+    hashed = df.withColumn("key_hash", F.xxhash64(key))
+    hashed.write.option("parquet.bloom.filter.enabled#key_hash", "true").option("parquet.bloom.filter.expected.ndv#key_hash", str(expected)).parquet(path)
+
+
+def probe(spark: SparkSession, path: str, key: str, value) -> DataFrame:
+    """The rows whose key equals a constant; row groups whose bloom filter lacks its hash are not read."""
+    wanted = spark.range(1).select(F.xxhash64(F.lit(value))).first()[0]
+    return spark.read.parquet(path).where((F.col("key_hash") == wanted) & (F.col(key) == value)).drop("key_hash")
+
+
+def export_logical(df: DataFrame, path: str, registry: Registry | None = None) -> None:
+    """A dump: plain values in Parquet, that any reader can load. No frame leaves the table."""
+    held = packed_columns(df)
+    df.select(*[unpack(df[c], held[c][0], registry).alias(c) if c in held else F.col(f"`{c}`") for c in df.columns]).write.parquet(path)
+
+
+def import_logical(table: PackedTable, path: str, policies: dict[str, tuple[str, Policy | str | None]] | None = None) -> None:
+    """A restore: the values of a dump, encoded under the target's own policies."""
+    table.write(table.spark.read.parquet(path), policies)

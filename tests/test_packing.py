@@ -168,3 +168,32 @@ def test_empty_tables(spark):
     df = rows_of(spark, []).withColumn("c", P.pack_text("v"))
     assert df.select(P.unpack("c")).count() == 0 and R.group_packed(df, {"c": "text"}, F.count("*").alias("n")).count() == 0
     assert R.count_distinct_packed(df, "c").first()["n"] == 0
+
+
+def test_cache_statistics(spark, registry):
+    stats = P.CacheStats(spark)
+    held = P.Dictionaries(registry, stats=stats)
+    df = rows_of(spark, [f"sample subject {i} " * 20 for i in range(10)]).select(P.pack_text("v", "(6,first)", registry).alias("c")).cache()
+    assert df.count() == 10
+    df.select(P.unpack("c", "text", held)).write.format("noop").mode("overwrite").save()
+    got = stats.values()
+    assert got["misses"] == 10 and got["hits"] == 0 and 1 <= got["loads"] <= 10
+    df.select(P.validate("c", "text", held)).write.format("noop").mode("overwrite").save()
+    assert stats.values()["misses"] == 10  # validation leaves the cache alone
+
+
+def test_extracted_columns_and_probes(spark, tmp_path):
+    df = rows_of(spark, ['{"k": "a", "n": 1}', '{"k": "b"}', None]).select("i", P.pack_json("v").alias("doc"))
+    got = {r["i"]: (r["k"], r["n"]) for r in D.with_extracted(df, "doc", {"k": ["k"], "n": ["n"]}).collect()}
+    assert got == {0: ("a", "1"), 1: ("b", None), 2: (None, None)}
+    T.probe_write(rows_of(spark, ["x", "y", "x"]), "v", str(tmp_path / "p"))
+    assert sorted(r["i"] for r in T.probe(spark, str(tmp_path / "p"), "v", "x").collect()) == [0, 2]
+
+
+def test_dump_and_restore(spark, tmp_path, registry):
+    a, b = T.PackedTable(spark, str(tmp_path / "a"), registry), T.PackedTable(spark, str(tmp_path / "b"))
+    a.write(rows_of(spark, TEXTS), {"v": ("text", "(6,first)")})
+    T.export_logical(a.read(), str(tmp_path / "dump"), registry)
+    T.import_logical(b, str(tmp_path / "dump"), {"v": ("text", "(3)")})
+    assert sorted(map(repr, b.logical().collect())) == sorted(map(repr, a.logical().collect()))
+    assert {r[0] for r in b.read().where("v is not null").select("v.dict_id").collect()} == {0}
