@@ -18,10 +18,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, reread from Parquet in the shared folder: lineage ends there, and the loss of an
-    executor costs nothing that was written."""
+    executor costs nothing that was written. The folder goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stowage-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stowage-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
