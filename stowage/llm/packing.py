@@ -12,6 +12,7 @@ import functools
 import os
 import random
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -140,26 +141,53 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+_MARKS = b".,;:!?*$%&#"
+_ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
+
+
 class WordIds:
     """Token ids of texts, as little-endian uint32. Runs between ASCII white space are encoded once: the
-    tokenizer drops white space, so that a text's ids are those of its runs, one after another."""
+    tokenizer drops white space, so that a text's ids are those of its runs, one after another. Nor does
+    a token cross from an ASCII letter or digit to the marks at a run's end, and A-Z count as a-z."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         self.tokenizer, self.known, self.most = _tokenizer(path), {}, most
 
+    def _learn(self, runs: set[bytes]) -> None:
+        known, ends, new = self.known, {}, set()
+        for run in runs:
+            core = run.rstrip(_MARKS)
+            if core and core != run and core[-1] in _ALNUM:
+                marks = run[len(core) :]
+                ends[run] = core, marks
+                new.update(x for x in (core, marks) if x not in known)
+            else:
+                new.add(run)
+        listed = list(new)
+        for i in range(0, len(listed), 4096):
+            part = listed[i : i + 4096]
+            for run, coded in zip(part, self.tokenizer.encode_batch_fast([r.decode() for r in part], add_special_tokens=False), strict=True):
+                known[run] = array("I", coded.ids).tobytes()
+        for run, (core, marks) in ends.items():
+            known[run] = known[core] + known[marks]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            runs = text.encode("utf-8", "replace").split()
-            new = [r for r in set(runs) if r not in self.known]
-            if len(self.known) + len(new) > self.most:
+        split = [text.encode("utf-8", "replace").lower().split() for text in texts]
+        out, i = [], 0
+        while i < len(split):  # runs of texts, so that what is new is encoded in large batches
+            end, size = i, 0
+            while end < len(split) and (end == i or size + len(split[end]) <= 200_000):
+                size += len(split[end])
+                end += 1
+            seen = set().union(*split[i:end])
+            new = seen - self.known.keys()
+            if len(self.known) + 2 * len(new) > self.most:
                 self.known.clear()
-                new = list(set(runs))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for run, coded in zip(part, self.tokenizer.encode_batch([r.decode() for r in part], add_special_tokens=False), strict=True):
-                    self.known[run] = np.array(coded.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, runs)))
+                new = seen
+            self._learn(new)
+            get = self.known.__getitem__
+            out += [b"".join(map(get, runs)) for runs in split[i:end]]
+            i = end
         return out
 
 
