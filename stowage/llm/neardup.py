@@ -130,12 +130,22 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(longs(column(batch, "node")), SYMBOLS))], names=["key", "node"])
 
     keyed = nodes.select("sig", "node").mapInArrow(enumerate_keys, "key long, node long")
-    counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.min("node").alias("low"), F.max("node").alias("high"))
+    # Most keys are met once. What repeats is counted first (a hot key is one row a map task) ...
+    repeated = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    likely = spark.sparkContext.broadcast(bits_of(repeated, "key"))
+
+    def only_repeated(stream):
+        for batch in stream:
+            at = np.flatnonzero(likely.value.hits(longs(column(batch, "key"))))
+            if len(at):
+                yield batch.take(pa.array(at))
+
+    # ... and only the rows that may have such a key are dealt to it.
+    met = written(keyed.mapInArrow(only_repeated, "key long, node long").join(repeated, "key"), "met")
+    marks = met.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("low"), F.max("node").alias("high"))
     # Keys with the same members need one comparison.
-    buckets = written(counted.where("n > 1").groupBy("n", "mark", "low", "high").agg(F.min("key").alias("key")).where("low < high or n > 2"), "buckets")
-    pairs = buckets.where("n = 2").select("key", "n", F.explode(F.array("low", "high")).alias("node"))
-    larger = keyed.join(buckets.where("n > 2").select("key", "n"), "key").select("key", "n", "node")
-    members = written(pairs.union(larger), "members")
+    single = marks.where("low < high").groupBy("n", "mark", "low", "high").agg(F.min("key").alias("key")).select("key")
+    members = written(met.join(single, "key"), "members")
     wanted = members.select("node").distinct()
     suspects = spark.sparkContext.broadcast(bits_of(wanted, "node"))
 
