@@ -148,6 +148,7 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = verified.select("sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest"))).otherwise(F.lit(True)).alias("same"))
     chosen = digests.groupBy("sha").agg(F.max(F.struct("id", "no")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
     classes = chosen.join(verified.where("same"), "sha").select(F.col("sha").alias("class"), F.col("top.id").alias("keep_id"), F.col("top.no").alias("keep_no"), "n")
+    classes = written(classes, "classes")  # a plain join with it can be split at a hot class
     own = digests.join(classes, F.col("sha") == F.col("class"), "left")
     single = F.col("n").isNull()
     return own.select(
