@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.common import read_table, written
+from stowage.llm.common import read_table, unused, written
 from stowage.llm.exact import exact_dedup
 from stowage.llm.neardup import near_dedup
 from stowage.llm.packing import pack
@@ -23,8 +23,9 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the nearest labelled examples don't call toxic. A row without an id stays: it
     can't be told from others that have none."""
     scores = toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels")))
-    gone = scores.where("predicted = 1").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    name = unused(docs, "gone_id")
+    gone = scores.where("predicted = 1").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stowage.session import prepared, read_table, shared_dir
 
-__all__ = ["LOWER", "UPPER", "Bits", "BoundedCache", "arrow_schema", "bits_of", "column", "components", "groups", "longs", "per_text", "prepared", "read_table", "written"]
+__all__ = ["LOWER", "UPPER", "Bits", "BoundedCache", "arrow_schema", "bits_of", "column", "components", "groups", "longs", "per_text", "prepared", "read_table", "unused", "written"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_schema(df_schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import LOWER, UPPER, Bits, bits_of, column, groups, prepared, written
+from stowage.llm.common import LOWER, UPPER, Bits, bits_of, column, groups, prepared, unused, written
 from stowage.llm.kernels import flat
 
 
@@ -165,10 +165,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     with the largest id. Rows that agree in id and text are one row."""
     classes = written(exact_classes(df, id_col, text_col).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"), "kept")
     pairs = classes.groupBy("doc_id", "sha").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    gone = pairs.where(~F.col("stays")).select(F.col("doc_id").alias("__gone_id"), F.col("sha").alias("__gone_sha"))
+    own, gone_id, gone_sha = (unused(df, n) for n in ("own_sha", "gone_id", "gone_sha"))
+    gone = pairs.where(~F.col("stays")).select(F.col("doc_id").alias(gone_id), F.col("sha").alias(gone_sha))
     sha = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256))
-    rows = df.withColumn("__own_sha", sha)
-    stay = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__own_sha") == F.col("__gone_sha")), "left_anti")
+    rows = df.withColumn(own, sha)
+    stay = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_sha)), "left_anti")
     if not pairs.where("stays and n > 1").isEmpty():  # rows that agree in id and text
-        stay = stay.dropDuplicates([id_col, "__own_sha"])
-    return stay.drop("__own_sha")
+        stay = stay.dropDuplicates([id_col, own])
+    return stay.drop(own)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import bits_of, column, components, groups, longs, prepared, written
+from stowage.llm.common import bits_of, column, components, groups, longs, prepared, unused, written
 from stowage.llm.kernels import mix
 
 EDITS = 2
@@ -293,7 +293,8 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """The rows of ``df``, each text without the lines that line_classes drops. Null texts stay null."""
-    gone = line_classes(df, id_col, text_col, edits).where(~F.col("kept")).groupBy("document").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("document", "__of")
+    own, of, lost = (unused(df, n) for n in ("own_document", "of_document", "lost_lines"))
+    gone = line_classes(df, id_col, text_col, edits).where(~F.col("kept")).groupBy("document").agg(F.collect_set("line_no").alias(lost)).withColumnRenamed("document", of)
 
     @F.arrow_udf("binary")
     def document(ids: pa.Array, texts: pa.Array) -> pa.Array:
@@ -307,6 +308,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
             out.append("\n".join(x for i, x in enumerate(_lines_of(text)) if i not in drop) if text is not None and drop else text)
         return pa.array(out, pa.string())
 
-    rows = df.withColumn("__document", document(F.col(id_col).cast("long"), F.col(text_col)))
-    joined = rows.join(gone, F.col("__document") == F.col("__of"), "left")
-    return joined.withColumn(text_col, without(F.col(text_col), F.col("__gone"))).drop("__document", "__of", "__gone")
+    rows = df.withColumn(own, document(F.col(id_col).cast("long"), F.col(text_col)))
+    joined = rows.join(gone, F.col(own) == F.col(of), "left")
+    return joined.withColumn(text_col, without(F.col(text_col), F.col(lost))).drop(own, of, lost)

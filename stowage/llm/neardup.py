@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import bits_of, column, components, groups, longs, prepared, written
+from stowage.llm.common import bits_of, column, components, groups, longs, prepared, unused, written
 from stowage.llm.kernels import minhash, mix, set_digest, shingle_sets
 
 SYMBOLS, CHUNK = 32, 4
@@ -184,5 +184,6 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` whose document near_classes keeps, with all their columns."""
-    gone = near_classes(df, id_col, text_col, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name = unused(df, "gone_id")
+    gone = near_classes(df, id_col, text_col, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, F.col(id_col) == F.col(name), "left_anti")

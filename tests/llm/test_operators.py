@@ -40,6 +40,16 @@ def test_clashing_names_change_nothing_and_empty_tables_give_nothing(docs, name)
     assert empty.count() == 0 and empty.schema.simpleString() == run(docs).schema.simpleString()
 
 
+def test_filters_keep_clashing_columns(docs):
+    names = ("own_sha", "gone_id", "gone_sha", "own_document", "of_document", "lost_lines")
+    clash = docs
+    for n in names:
+        clash = clash.withColumn(n, docs["doc_id"].cast("string"))
+    for run in (exact.exact_dedup, neardup.near_dedup, lines.dedup_lines):
+        got = run(clash)
+        assert got.columns == clash.columns and rows_of(got.select(docs.columns)) == rows_of(run(docs))
+
+
 def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
