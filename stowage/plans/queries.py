@@ -14,7 +14,7 @@ from stowage.functions import packing as P
 from stowage.operators import analyze as A
 from stowage.operators import relational as R
 from stowage.registry import Registry, train_dictionary
-from stowage.session import prepared, read_table, shared_dir
+from stowage.session import prepared, read_table, shared_dir, spread
 from stowage.sources import tables as T
 from stowage.streaming.replicate import replicate
 from stowage.sync import sync
@@ -51,13 +51,13 @@ def trained(spark: SparkSession, sf_dir: str) -> Registry:
 
 
 def docs_of(spark, sf_dir, policy="(6)", registry=None) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return docs.withColumn("body", P.pack_text("text", policy, registry)).drop("text")
 
 
 def lines_of(spark, sf_dir) -> DataFrame:
     """lineitem rows as packed order-line documents, with the columns they are made of."""
-    items = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    items = spread(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"))
     document = F.to_json(F.struct("l_orderkey", "l_linenumber", "l_returnflag", F.array("l_returnflag", "l_linestatus").alias("tags"), F.struct(F.col("l_partkey").alias("k"), F.lit("order line").alias("note")).alias("nest")))
     return items.withColumn("doc", P.pack_json(document, "(1)"))
 

@@ -27,3 +27,11 @@ def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few splits dealt out to all cores, before work that costs far more than the rows' way
+    there. Scans with a quarter as many splits as cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 4 * splits < cores else df
