@@ -191,6 +191,12 @@ class WordIds:
         return out
 
 
+@functools.lru_cache(2)
+def word_ids(path: str) -> WordIds:
+    """One a worker, so that its tasks share what is known."""
+    return WordIds(path)
+
+
 def document_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids if asked for): each whole text's ids and ``end_id``,
     cut into pieces of ``capacity`` ids where it is longer. A null or empty text is its ``end_id``."""
@@ -200,7 +206,7 @@ def document_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     tail, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def cut(stream):
-        encode = WordIds(path)
+        encode = word_ids(path)
         for batch in stream:
             ids, texts = column(batch, "doc_id").to_pylist(), column(batch, "body").to_pylist()
             for i in range(0, len(ids), 256):
