@@ -3,11 +3,15 @@
 Of two lines within t edits, one of the t + 1 segments that partition the shorter one stands unchanged
 in the longer one, near its place. Every distinct line puts its segments into an index under its length,
 and probes the indexes of its own and the t smaller lengths with the substrings that may hold such a
-segment. Lines that meet under a key are verified by a banded bit-parallel edit distance.
+segment. The segments of very short lines say little, but two lines within t edits have in common what
+remains of each after t deletions at most: these remainders are their keys. Lines that meet under a key
+are verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +21,8 @@ from stowage.llm.common import bits_of, column, components, groups, longs, prepa
 from stowage.llm.kernels import mix
 
 EDITS = 2
-SEGMENT = 8  # characters a segment has at least; shorter lines are only compared for equality
+SEGMENT = 8  # characters a segment has at least, unless line_classes is told to link shorter lines
+SHORT = 4  # characters a segment has at least where lines of all lengths are linked
 BLOCK = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -77,9 +82,9 @@ def _code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))])
 
 
-def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line's number, whether an index entry) of lines with edits + 1 characters at least. An index
-    entry is also the probe of its own length at its own place."""
+def segment_keys(lines: list[str], edits: int, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line's number, whether an index entry) of lines, for links whose shorter line has ``least``
+    and edits + 1 characters at least. An index entry is also the probe of its own length at its own place."""
     points, bounds = _code_points(lines)
     values = mix(points.astype(np.uint64) + np.uint64(0x51))
     n = len(points) + 1
@@ -96,7 +101,7 @@ def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray,
         return mix(inner + mix(length.astype(np.uint64) * np.uint64(256) + np.uint64(segment)))
 
     for less in range(edits + 1):  # the length of the index that is probed: less than one's own
-        rows = np.flatnonzero(lengths - less >= parts)
+        rows = np.flatnonzero(lengths - less >= max(parts, least))
         length = lengths[rows] - less
         short, longer = length // parts, length % parts  # the last ``longer`` segments have one more
         for i in range(parts):
@@ -116,6 +121,31 @@ def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray,
     return key.view(np.int64), row, own
 
 
+def remainder_keys(lines: list[str], edits: int, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line's number, True): what remains of a line after ``edits`` deletions at most, for links
+    whose shorter line has less than ``below`` characters."""
+    points, bounds = _code_points(lines)
+    values = mix(points.astype(np.uint64) + np.uint64(0x51))
+    lengths = np.diff(bounds)
+    powers = np.cumprod(np.full(below + edits, _BASE, np.uint64))
+    keys, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for length in np.unique(lengths[lengths < below + edits]).tolist():
+        rows = np.flatnonzero(lengths == length)
+        each = values[bounds[rows][:, None] + np.arange(length)]
+        made = []
+        for gone in range(min(edits, length) + 1):
+            for places in itertools.combinations(range(length), gone):
+                rest = np.delete(each, places, axis=1) * powers[: length - gone]
+                made.append(mix(rest.sum(axis=1, dtype=np.uint64) + mix(np.full(len(rows), length - gone + (1 << 40), np.uint64))))
+        found = np.sort(np.stack(made, axis=1), axis=1)
+        once = np.ones(found.shape, bool)
+        once[:, 1:] = found[:, 1:] != found[:, :-1]
+        keys.append(found[once])
+        numbers.append(np.broadcast_to(rows[:, None], found.shape)[once])
+    key, row = np.concatenate(keys), np.concatenate(numbers)
+    return key.view(np.int64), row, np.ones(len(key), bool)
+
+
 def _lines_of(text: str) -> list[str]:
     return text.split("\n")
 
@@ -164,12 +194,12 @@ def _met(table: pa.Table, keys: np.ndarray):
         yield from out.select(["key", "line", "own", "n"]).combine_chunks().to_batches()
 
 
-def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, block: int = BLOCK) -> DataFrame:
+def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, block: int = BLOCK, least: int | None = None) -> DataFrame:
     """(document, doc_id, line_no, line, class, n_links, kept): one row per line of each document.
 
     Lines are what "\\n" separates; a line of white space only is always kept and is in no class. Equal
-    lines are one class; lines of (edits + 1) * SEGMENT characters at least are linked within ``edits``
-    edits of characters, and a class holds all that links connect. n_links: the distinct lines that the
+    lines are one class; lines of ``least`` characters at least (by default (edits + 1) * SEGMENT; 1 for
+    all lines) are linked within ``edits`` edits of characters, and a class holds all that links connect. n_links: the distinct lines that the
     line is linked with. Of a class the line of the smallest doc_id (null last), then line_no, is kept.
     ``document`` is a digest of id and text: rows that agree in both are one document.
     """
@@ -188,13 +218,16 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["document", "doc_id", "line_no", "line"])
 
     lines = written(source.mapInArrow(occurrences, "document binary, doc_id long, line_no int, line binary"), "lines")
-    least = max(edits + 1, (edits + 1) * SEGMENT)
+    least = (edits + 1) * SEGMENT if least is None else max(1, least)
+    cut = (edits + 1) * SHORT  # links of shorter lines are found by remainders
 
     def probes(stream):
         seen: set[bytes] = set()
 
         def keyed(held, digests):
-            key, row, own = segment_keys(held, edits)
+            key, row, own = segment_keys(held, edits, cut)
+            if least < cut:
+                key, row, own = (np.concatenate(x) for x in zip((key, row, own), remainder_keys(held, edits, cut), strict=True))
             digest = pa.array(digests, pa.binary())
             short = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
             for a in range(0, len(key), 1 << 17):
@@ -281,9 +314,9 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """(doc_id, n_lines, n_kept, n_links, kept_lines), one row per row of ``df`` but that rows which agree
     in id and text are one: its lines, how many stay, the links of its lines, and the numbers (from 0)
-    of the lines that stay. A null or empty text is one empty line. An empty table gives no rows; other
+    of the lines that stay. Lines of all lengths are linked. A null or empty text is one empty line. An empty table gives no rows; other
     columns are ignored."""
-    rows = line_classes(df, id_col, text_col, edits)
+    rows = line_classes(df, id_col, text_col, edits, least=1)
     single = rows.groupBy("document", "doc_id", "line_no").agg(F.max("n_links").alias("n_links"), F.max("kept").alias("kept"))
     report = single.groupBy("document", "doc_id").agg(
         F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.sum("n_links").alias("n_links"), F.array_sort(F.collect_list(F.when(F.col("kept"), F.col("line_no")))).alias("kept_lines")
@@ -292,9 +325,9 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """The rows of ``df``, each text without the lines that line_classes drops. Null texts stay null."""
+    """The rows of ``df``, each text without the lines that line_classes drops among lines of all lengths. Null texts stay null."""
     own, of, lost = (unused(df, n) for n in ("own_document", "of_document", "lost_lines"))
-    gone = line_classes(df, id_col, text_col, edits).where(~F.col("kept")).groupBy("document").agg(F.collect_set("line_no").alias(lost)).withColumnRenamed("document", of)
+    gone = line_classes(df, id_col, text_col, edits, least=1).where(~F.col("kept")).groupBy("document").agg(F.collect_set("line_no").alias(lost)).withColumnRenamed("document", of)
 
     @F.arrow_udf("binary")
     def document(ids: pa.Array, texts: pa.Array) -> pa.Array:

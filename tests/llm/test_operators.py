@@ -225,6 +225,32 @@ def test_line_classes(spark):
     assert (90, None) in cleaned and (91, "") in cleaned and len(cleaned) == len(rows) - 1
 
 
+def test_short_lines_are_linked(spark):
+    draw = random.Random(12)
+    every = ["Ly reonhe onble.", "Ly. Reonhe onble.", "x" * 24, "x" * 22, "a", "b", "ab", "zq", "xyz", "xyzw1", "é", "日本"]
+    every += ["".join(draw.choice("abcdef") for _ in range(draw.randint(1, 6))) for _ in range(40)]
+    for n in range(5, 27):
+        x = "".join(draw.choice("abcdefgh ") for _ in range(n)).strip() + "."
+        for _ in range(3):
+            y = list(x)
+            for _ in range(draw.randint(1, 3)):
+                at = draw.randrange(len(y))
+                y[at : at + draw.randint(0, 1)] = draw.choice(["", "q", "Q"])
+            every.append("".join(y))
+        every.append(x)
+    distinct = sorted({x for x in every if x.strip()})
+    links = {x: [y for y in distinct if x != y and distance(x, y) <= 2] for x in distinct}
+    assert sum(0 < len(x) < 24 for x in distinct if links[x]) > 80
+    docs = spark.createDataFrame(list(enumerate(distinct)), "doc_id long, text string")
+    report = {r["doc_id"]: r for r in lines.line_report(docs).collect()}
+    assert [report[i]["n_links"] for i in range(len(distinct))] == [len(links[x]) for x in distinct]
+    kept = {r["text"] for r in lines.dedup_lines(docs).collect()}
+    assert ("Ly reonhe onble." in kept) + ("Ly. Reonhe onble." in kept) == 1
+    for block in (lines.BLOCK, 3):
+        got = lines.line_classes(docs, block=block, least=1).collect()
+        assert {bytes(r["line"]): r["n_links"] for r in got} == {lines._digest(x): len(links[x]) for x in distinct}
+
+
 def test_longest_match_counts():
     vocabulary = ["▁", "▁a", "▁ab", "ab", "abc", "b", "cd", "▁abcde", "d", "é", "bcdx"]
     match = tokencount.LongestMatch(vocabulary)
