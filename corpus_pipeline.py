@@ -11,21 +11,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.common import read_table, unused, written
+from stowage.llm.common import read_table, written
 from stowage.llm.exact import exact_dedup
 from stowage.llm.neardup import near_dedup
 from stowage.llm.packing import pack
 from stowage.llm.secrets import mask_secrets
-from stowage.llm.toxicity import fit, toxicity
+from stowage.llm.toxicity import drop_toxic, fit
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the nearest labelled examples don't call toxic. A row without an id stays: it
-    can't be told from others that have none."""
-    scores = toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels")))
-    name = unused(docs, "gone_id")
-    gone = scores.where("predicted = 1").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    """The documents that the nearest labelled examples don't call toxic, each row by its own text."""
+    return drop_toxic(docs, fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +30,7 @@ def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near copies (five-word shingles, similarity 0.8), the smallest id's."""
+    """Of documents linked by near copies (five-word shingles, similarity 0.8), the row of the smallest id."""
     return near_dedup(docs)
 
 

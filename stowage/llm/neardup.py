@@ -183,7 +183,15 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose document near_classes keeps, with all their columns."""
-    name = unused(df, "gone_id")
-    gone = near_classes(df, id_col, text_col, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return df.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    """The rows of ``df`` that stay, with all their columns. Unlike in near_classes each row is a document
+    of its own, with or without an id: of the rows that links connect, the one of the smallest id (null
+    last) stays, one of them if they repeat it. Rows without words stay."""
+    number, lost = unused(df, "row_no"), unused(df, "gone_no")
+    rows = written(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    ids = rows.select(F.col(number).alias("no"), F.col(id_col).cast("long").alias("id"))
+    found = near_classes(rows, number, text_col, width, percent).select(F.col("doc_id").alias("of"), "component_id")
+    classes = written(ids.join(found, F.col("no") == F.col("of")).select("no", "id", "component_id"), "row-classes")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "no")
+    tops = classes.groupBy("component_id").agg(F.min(order).alias("top")).select(F.col("top.no").alias("stays"))
+    gone = classes.join(tops, F.col("no") == F.col("stays"), "left_anti").select(F.col("no").alias(lost))
+    return rows.join(gone, F.col(number) == F.col(lost), "left_anti").drop(number)

@@ -260,9 +260,30 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
     counts as the text '' for held_out. Repeated rows give repeated rows, an empty table none. Other
     columns are ignored.
     """
+    make = _judge(docs, model)
+    rows = per_text(docs, id_col, text_col, "score double, vote double, evidence array<long>", lambda: make(evidence))
+    return rows.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "vote", "evidence")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text toxicity() does not predict to be toxic, with all their columns.
+    Each row is judged on its own text, whatever its id."""
+    make, works = _judge(docs, model), []
+
+    @F.arrow_udf("boolean")
+    def civil(texts: pa.Array) -> pa.Array:
+        if not works:
+            works.append(make(0))  # once a task
+        return pa.array([s < 0.5 for s in works[0](["" if t is None else t for t in texts.to_pylist()])[0]], pa.bool_())
+
+    return docs.where(civil(F.col(text_col).cast("string")))
+
+
+def _judge(docs: DataFrame, model: ToxicityModel):
+    """Makes, on a worker, the function from texts to their scores, votes and evidence."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def make():
+    def make(evidence: int):
         held = sent.value
         cache = BoundedCache(_numbers(held.vocabulary), 500_000)
 
@@ -277,5 +298,4 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
 
         return work
 
-    rows = per_text(docs, id_col, text_col, "score double, vote double, evidence array<long>", make)
-    return rows.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "vote", "evidence")
+    return make
