@@ -66,14 +66,14 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     blocks of ``query_block`` rows (a bound on the broadcast), each against all rows.
 
     Null id, null vector, or a vector with a null or non-finite component: the row takes no part. Vectors
-    of another length than the query's are no candidates of it. Ties: the smaller id first; rows that
+    of another length than the query's are no candidates of it; each length of the queries costs a pass. Ties: the smaller id first; rows that
     repeat an id count as often as they stand. Fewer than k candidates: all of them. Empty table: no rows.
     """
     spark = prepared(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity'))")
     asked = rows.where(F.col("id") % every == 0)
-    sizes = [r[0] for r in asked.select(F.size("v")).distinct().limit(64).collect()]
+    sizes = [r[0] for r in asked.select(F.size("v").alias("n")).distinct().orderBy("n").toLocalIterator()]
     parts: list[DataFrame] = []
     for dims in sizes:
         same = rows.where(F.size("v") == dims)
@@ -91,9 +91,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 parts.append(_block(spark, same, block, len(parts), dims, k, scale))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    while len(parts) > 1:  # in pairs: a plan of many lengths stays shallow
+        parts = [a.union(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) & ~1 :]
     found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
     order = Window.partitionBy("query_no").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -358,6 +358,18 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_many_lengths(spark):
+    draw = np.random.default_rng(6)
+    rows = [(100 * n + i, draw.integers(-9, 9, n).astype(float).tolist()) for n in range(1, 71) for i in range(3)]
+    want = []
+    for n in range(1, 71):
+        same = [(i, 1024 * np.array(v, np.int64)) for i, v in rows if len(v) == n]
+        scores = sorted((-int(same[0][1] @ w), i) for i, w in same[1:])
+        want += [(100 * n, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_extraction(spark):
     def page(i, story):
         return f'<html><head><title>t{i}</title><style>p{{}}</style></head><body><div class="x1"><p>All rights belong to us</p></div><div class="x2"><h1>Story {i}</h1><p>{story}</p></div><script>var a="<p>no</p>";</script></body></html>'
