@@ -23,22 +23,31 @@ from stowage.llm.common import BoundedCache, column, per_text, prepared
 from stowage.llm.kernels import minhash, shingle_sets
 
 GRAM = 5
+LONG = 100
 BLOCK = 64
 SIGNATURE = 32
 
 
 def terms_of(chunk: str) -> tuple[str, ...]:
-    """The terms of a run without white space: its lower-case word and the word's 5-grams."""
+    """The terms of a run without white space: its lower-case word and the word's 5-grams. A word of more
+    than LONG characters counts as the words between its characters that are no letters or digits."""
     start, end = 0, len(chunk)
     while start < end and not chunk[start].isalnum():
         start += 1
     while end > start and not chunk[end - 1].isalnum():
         end -= 1
     word = chunk[start:end].lower()
-    if not word or len(word) > 100:
-        return ()
-    marked = f"^{word}$"
-    return (word, *{marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)})
+    words = [word] if len(word) <= LONG else "".join(c if c.isalnum() else " " for c in word).split()
+    return tuple(t for w in words if w for t in (w, *_grams(f"^{w}$")))
+
+
+def _grams(marked: str) -> set[str]:
+    return {marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)}
+
+
+def _made(chunks, cache: BoundedCache):
+    """What the cache makes of each run; that of a long one is not held."""
+    return (cache[c] if len(c) <= LONG else cache.make(c) for c in chunks)
 
 
 @dataclass
@@ -168,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return empty
 
     def seen(batch, cache) -> list[set[str]]:
-        return [set().union(*map(cache.__getitem__, set((x or "").split()))) for x in column(batch, "body").to_pylist()]
+        return [set().union(*_made(set((x or "").split()), cache)) for x in column(batch, "body").to_pylist()]
 
     def sketch(stream):
         cache, counts = BoundedCache(terms_of, 100_000), np.zeros((2, 1 << sketch_bits), np.int64)
@@ -244,9 +253,9 @@ def _numbers(vocabulary: dict[str, int]):
     return lambda chunk: tuple(vocabulary[t] for t in terms_of(chunk) if t in vocabulary)
 
 
-def _counts(text: str, cache: dict[str, tuple[int, ...]]) -> dict[int, int]:
+def _counts(text: str, cache: BoundedCache) -> dict[int, int]:
     out: dict[int, int] = {}
-    for numbers in map(cache.__getitem__, text.split()):
+    for numbers in _made(text.split(), cache):
         for i in numbers:
             out[i] = out.get(i, 0) + 1
     return out

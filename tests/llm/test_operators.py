@@ -424,6 +424,17 @@ def test_toxicity(spark):
         assert {r["score"] for r in toxicity.toxicity(docs, toxicity.fit(a, b)).collect()} == {0.0}
 
 
+def test_long_runs_are_read_whole(spark):
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.fit(docs, labels)
+    toxic = next(r["text"] for r in docs.where("doc_id = 4").collect())
+    joined = [toxic] + [toxic.replace(" ", c) for c in (",", "/", "_", "\u200b", "--")]
+    got = toxicity.toxicity(spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string"), model).collect()
+    assert len({(r["score"], r["vote"], r["predicted"]) for r in got}) == 1 and got[0]["vote"] > 0
+    assert set(toxicity.terms_of("日本語" * 50)) > {"日本語日本", "^日本語日"} and toxicity.terms_of("," * 300) == ()
+    assert toxicity.terms_of("(Vilely!") == toxicity.terms_of("vilely") and "vilely" in toxicity.terms_of("vilely," * 40)
+
+
 def test_nearest_examples_are_exact():
     draw = np.random.default_rng(4)
     dense = draw.random((333, 20)).astype(np.float32) * (draw.random((333, 20)) > 0.7)
