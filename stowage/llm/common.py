@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stowage.session import prepared, read_table, shared_dir
 
-__all__ = ["LOWER", "UPPER", "Bits", "BoundedCache", "arrow_schema", "bits_of", "column", "components", "groups", "longs", "per_text", "prepared", "read_table", "unused", "written"]
+__all__ = ["LOWER", "UPPER", "Bits", "BoundedCache", "arrow_schema", "bits_of", "column", "components", "groups", "longs", "per_text", "prepared", "read_table", "released", "unused", "written"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,6 +30,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(work: Callable) -> Callable:
+    """``work`` on a stream of batches; when the task ends, its worker, which goes on to other tasks, gives
+    back the memory that Arrow and the allocator hold."""
+
+    @functools.wraps(work)
+    def run(stream):
+        try:
+            yield from work(stream)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -153,7 +176,7 @@ def per_text(df: DataFrame, id_col: str, text_col: str, schema: str, make: Calla
             made = work(texts)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), *(pa.array(x, f.type) for x, f in zip(made, list(arrow)[1:], strict=True))], schema=arrow)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(released(run), out)
 
 
 class BoundedCache(dict):

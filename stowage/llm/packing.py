@@ -1,46 +1,52 @@
 """Best-fit packing of documents into token sequences by a grouping genetic algorithm.
 
 An individual is a set of bins. Crossover injects whole well-filled bins of one parent into the other,
-takes out the bins that hold the same documents, and puts what was displaced back by best fit. Islands
-evolve apart: each has a shard of the documents and several populations, whose elites migrate round a
-ring. Between epochs well-filled bins stay, and the documents of the other bins migrate to fewer islands.
+takes out the bins that hold the same documents, and puts what was displaced back by best fit. Shards of
+the documents start from best fit; a shard that is not at its lower bound is evolved on several islands,
+each a task of its own, whose elites move on round a ring between rounds. Between epochs well-filled bins
+stay, and the documents of the other bins migrate to fewer shards.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import random
 import zlib
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import arrow_schema, column, groups, longs, prepared, written
+from stowage.llm.common import column, groups, longs, prepared, released, written
 
 CAPACITY = 4096
 SHARD_ITEMS = 32768
 ELITE = 0.995  # the fill from which a bin stays between epochs
+ISLANDS, POPULATION, ROUNDS, GENERATIONS = 3, 4, 3, 8
 
 
-class Bins:
-    """Open bins by what is left in them; best fit is the lowest bit at or above a length."""
+class Plan:
+    """Bins of items and what is left in each. Best fit is the lowest bit at or above a length."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.mask = capacity, 0
-        self.left: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.capacity, self._mask = capacity, 0
+        self._open: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.items: list[list[int]] = []
+        self.left: list[int] = []
 
     def add(self, items: list[int], left: int) -> None:
-        self.left[left].append(len(self.items))
+        self._open[left].append(len(self.items))
         self.items.append(items)
-        self.mask |= 1 << left
+        self.left.append(left)
+        self._mask |= 1 << left
 
-    def best_fit(self, order: list[int], lengths: list[int]) -> None:
-        mask, spare, items, capacity = self.mask, self.left, self.items, self.capacity
+    def best_fit(self, order: list[int], lengths: list[int]) -> Plan:
+        mask, spare, items, rest, capacity = self._mask, self._open, self.items, self.left, self.capacity
         for i in order:
             n = lengths[i]
             fits = mask >> n
@@ -50,85 +56,117 @@ class Bins:
                 if not spare[left]:
                     mask ^= 1 << left
                 items[at].append(i)
-                left -= n
+                rest[at] = left = left - n
             else:
                 at, left = len(items), capacity - n
                 items.append([i])
+                rest.append(left)
             spare[left].append(at)
             mask |= 1 << left
-        self.mask = mask
-
-
-def _fill(bins: list[list[int]], lengths: list[int]) -> list[int]:
-    return [sum(lengths[i] for i in b) for b in bins]
-
-
-def _fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins are better; among as many, the ones filled less evenly (their squares)."""
-    return -len(bins), sum((f / capacity) ** 2 for f in _fill(bins, lengths))
-
-
-def _rebuilt(kept: list[list[int]], loose: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
-    bins = Bins(capacity)
-    for b, f in zip(kept, _fill(kept, lengths), strict=True):
-        bins.add(list(b), capacity - f)
-    bins.best_fit(sorted(loose, key=lambda i: -lengths[i]), lengths)
-    return bins.items
-
-
-def _cross(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, draw: random.Random) -> list[list[int]]:
-    fills = _fill(b, lengths)
-    best = sorted(range(len(b)), key=lambda i: -fills[i])[: max(1, len(b) // 2)]
-    injected = [b[i] for i in draw.sample(best, draw.randint(1, len(best)))]
-    inside = {i for x in injected for i in x}
-    kept = [x for x in a if inside.isdisjoint(x)]
-    loose = [i for x in a if not inside.isdisjoint(x) for i in x if i not in inside]
-    return _rebuilt(kept + injected, loose, lengths, capacity)
-
-
-def _mutated(a: list[list[int]], lengths: list[int], capacity: int, draw: random.Random) -> list[list[int]]:
-    fills = _fill(a, lengths)
-    poor = sorted(range(len(a)), key=lambda i: fills[i])[: max(2, len(a) // 10)]
-    gone = set(draw.sample(poor, min(len(poor), 2)) + draw.sample(range(len(a)), min(len(a), 2)))
-    return _rebuilt([x for i, x in enumerate(a) if i not in gone], [i for g in gone for i in a[g]], lengths, capacity)
+        self._mask = mask
+        return self
+
+    @functools.cached_property
+    def fitness(self) -> tuple[int, int]:
+        """Fewer bins are better; among as many, the ones filled less evenly (their squares)."""
+        return -len(self.items), sum((self.capacity - x) ** 2 for x in self.left)
+
+    def dumps(self, n: int) -> bytes:
+        """The bin of each of ``n`` items, as little-endian int32."""
+        out = np.empty(n, "<i4")
+        for b, items in enumerate(self.items):
+            out[items] = b
+        return out.tobytes()
+
+    @classmethod
+    def loads(cls, data: bytes, lengths: list[int], capacity: int) -> Plan:
+        bins: list[list[int]] = []
+        for i, b in enumerate(np.frombuffer(data, "<i4").tolist()):
+            while len(bins) <= b:
+                bins.append([])
+            bins[b].append(i)
+        out = cls(capacity)
+        for items in bins:
+            out.add(items, capacity - sum(lengths[i] for i in items))
+        return out
 
 
-def evolve(lengths: list[int], capacity: int = CAPACITY, seed: int = 0, islands: int = 3, population: int = 4, generations: int = 24, migrate: int = 4) -> list[list[int]]:
-    """Bins of items (lengths 1 to capacity), as few as the search finds. It ends when their number is the
-    lower bound ceil(sum / capacity), which best fit alone often reaches."""
-    draw = random.Random(seed)
-    least = -(-sum(lengths) // capacity)
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    first = _rebuilt([], order, lengths, capacity)
-    if len(first) <= least:
-        return first
-    worlds = []
-    for _ in range(islands):
-        world = [first]
-        while len(world) < population:  # best fit in an order that is a little off
-            off = sorted(order, key=lambda i: -lengths[i] * draw.uniform(0.8, 1))
-            bins = Bins(capacity)
-            bins.best_fit(off, lengths)
-            world.append(bins.items)
-        worlds.append(world)
-    rank = functools.partial(_fitness, lengths=lengths, capacity=capacity)
-    best = max((x for w in worlds for x in w), key=rank)
-    for generation in range(generations):
-        if len(best) <= least:
+def best_fit_decreasing(lengths: list[int], capacity: int) -> Plan:
+    return Plan(capacity).best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths)
+
+
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    return -(-sum(lengths) // capacity)
+
+
+class Island:
+    """A population of plans for the same items."""
+
+    def __init__(self, lengths: list[int], capacity: int, plans: list[Plan], seed: int, population: int = POPULATION):
+        self.lengths, self.capacity, self.draw, self.population = lengths, capacity, random.Random(seed), population
+        self.plans = sorted(plans, key=lambda p: p.fitness, reverse=True)[:population]
+        order = sorted(range(len(lengths)), key=lambda i: -lengths[i]) if len(self.plans) < population else []
+        while len(self.plans) < population:  # best fit in an order that is a little off
+            off = sorted(order, key=lambda i: -lengths[i] * self.draw.uniform(0.8, 1))
+            self.plans.append(Plan(capacity).best_fit(off, lengths))
+
+    @property
+    def elite(self) -> Plan:
+        return max(self.plans, key=lambda p: p.fitness)
+
+    def grow(self, generations: int) -> Island:
+        least = lower_bound(self.lengths, self.capacity)
+        for _ in range(generations):
+            if len(self.elite.items) <= least:
+                break
+            child = self._cross(*self.draw.sample(self.plans, 2))
+            if self.draw.random() < 0.5:
+                child = self._mutated(child)
+            worst = min(range(len(self.plans)), key=lambda i: self.plans[i].fitness)
+            if child.fitness >= self.plans[worst].fitness:
+                self.plans[worst] = child
+        return self
+
+    def _rebuilt(self, kept: list[tuple[list[int], int]], loose: list[int]) -> Plan:
+        out = Plan(self.capacity)
+        for items, left in kept:
+            out.add(list(items), left)
+        return out.best_fit(sorted(loose, key=lambda i: -self.lengths[i]), self.lengths)
+
+    def _cross(self, a: Plan, b: Plan) -> Plan:
+        best = sorted(range(len(b.items)), key=lambda i: b.left[i])[: max(1, len(b.items) // 2)]
+        injected = [(b.items[i], b.left[i]) for i in self.draw.sample(best, self.draw.randint(1, len(best)))]
+        inside = bytearray(len(self.lengths))
+        for items, _ in injected:
+            for i in items:
+                inside[i] = 1
+        kept, loose = [], []
+        for items, left in zip(a.items, a.left, strict=True):
+            if any(inside[i] for i in items):
+                loose += [i for i in items if not inside[i]]
+            else:
+                kept.append((items, left))
+        return self._rebuilt(kept + injected, loose)
+
+    def _mutated(self, a: Plan) -> Plan:
+        poor = sorted(range(len(a.items)), key=lambda i: -a.left[i])[: max(2, len(a.items) // 10)]
+        gone = {*self.draw.sample(poor, min(len(poor), 2)), *self.draw.sample(range(len(a.items)), min(len(a.items), 2))}
+        return self._rebuilt([(x, a.left[i]) for i, x in enumerate(a.items) if i not in gone], [i for g in gone for i in a.items[g]])
+
+
+def evolve(lengths: list[int], capacity: int = CAPACITY, seed: int = 0, islands: int = ISLANDS, rounds: int = ROUNDS, generations: int = GENERATIONS) -> list[list[int]]:
+    """Bins of items (lengths 1 to capacity), as few as the search finds, on islands of one process. It
+    ends when their number is the lower bound ceil(sum / capacity), which best fit alone often reaches."""
+    first, least = best_fit_decreasing(lengths, capacity), lower_bound(lengths, capacity)
+    if len(first.items) <= least:
+        return first.items
+    worlds = [Island(lengths, capacity, [first], seed * islands + i) for i in range(islands)]
+    for _ in range(rounds):
+        elites = [w.grow(generations).elite for w in worlds]
+        if any(len(e.items) <= least for e in elites):
             break
-        for w, world in enumerate(worlds):
-            a, b = draw.sample(world, 2)
-            child = _cross(a, b, lengths, capacity, draw)
-            if draw.random() < 0.5:
-                child = _mutated(child, lengths, capacity, draw)
-            worst = min(range(len(world)), key=lambda i: rank(world[i]))
-            if rank(child) >= rank(world[worst]):
-                world[worst] = child
-            best = max(best, child, key=rank)
-            if generation % migrate == migrate - 1:  # the elite goes on to the next island of the ring
-                other = worlds[(w + 1) % islands]
-                other[min(range(len(other)), key=lambda i: rank(other[i]))] = max(world, key=rank)
-    return best
+        worlds = [Island(lengths, capacity, [*w.plans, elites[i - 1]], w.draw.randrange(2**32)) for i, w in enumerate(worlds)]
+    return max((w.elite for w in worlds), key=lambda p: p.fitness).items
 
 
 @functools.lru_cache(2)
@@ -136,62 +174,146 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
-_MARKS = b".,;:!?*$%&#"
-_ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
+_MARKS = ".,;:!?*$%&#"
+_LETTERS = "^[a-zß-öø-ÿÀ-ÖØ-Þ]+$"
+_JOINED = 64
 
 
-class WordIds:
-    """Token ids of texts, as little-endian uint32. Runs between ASCII white space are encoded once: the
-    tokenizer drops white space, so that a text's ids are those of its runs, one after another. Nor does
-    a token cross from an ASCII letter or digit to the marks at a run's end, and A-Z count as a-z."""
-
-    def __init__(self, path: str, most: int = 1_200_000):
-        self.tokenizer, self.known, self.most = _tokenizer(path), {}, most
-
-    def _learn(self, runs: set[bytes]) -> None:
-        known, ends, new = self.known, {}, set()
-        for run in runs:
-            core = run.rstrip(_MARKS)
-            if core and core != run and core[-1] in _ALNUM:
-                marks = run[len(core) :]
-                ends[run] = core, marks
-                new.update(x for x in (core, marks) if x not in known)
-            else:
-                new.add(run)
-        listed = list(new)
-        for i in range(0, len(listed), 4096):
-            part = listed[i : i + 4096]
-            for run, coded in zip(part, self.tokenizer.encode_batch_fast([r.decode() for r in part], add_special_tokens=False), strict=True):
-                known[run] = array("I", coded.ids).tobytes()
-        for run, (core, marks) in ends.items():
-            known[run] = known[core] + known[marks]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [text.encode("utf-8", "replace").lower().split() for text in texts]
-        out, i = [], 0
-        while i < len(split):  # runs of texts, so that what is new is encoded in large batches
-            end, size = i, 0
-            while end < len(split) and (end == i or size + len(split[end]) <= 200_000):
-                size += len(split[end])
-                end += 1
-            seen = set().union(*split[i:end])
-            new = seen - self.known.keys()
-            if len(self.known) + 2 * len(new) > self.most:
-                self.known.clear()
-                new = seen
-            self._learn(new)
-            get = self.known.__getitem__
-            out += [b"".join(map(get, runs)) for runs in split[i:end]]
-            i = end
-        return out
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parts of ``flat`` that begin at ``starts``, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-@functools.lru_cache(2)
+class WordIds:
+    """Token ids of texts, as uint32. Runs between ASCII white space are encoded once: the tokenizer drops
+    white space, so that a text's ids are those of its runs, one after another. Nor does a token cross
+    from an ASCII letter or digit to the marks at a run's end, and A-Z count as a-z. A text that holds a
+    special token's string, in any case, is encoded as a whole.
+
+    What is known is a table in Arrow (words) and numpy (their ids): of ``most`` words of up to 64 bytes,
+    some 40 MB, and forgotten beyond that."""
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.tokenizer, self.most = _tokenizer(path), most
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.specials = [t["content"].lower() for t in spec.get("added_tokens", ())]
+        vocabulary, mark = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a word
+        if mark:
+            self.last[[n for t, n in vocabulary.items() if t.endswith(mark)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _coded(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of new words. Words of plain letters are joined by spaces, for fewer calls, and
+        told apart by the tokens that end a word."""
+        plain = pc.match_substring_regex(new, _LETTERS).to_numpy(zero_copy_only=False) if self.last.any() else np.zeros(len(new), bool)
+        sizes, parts = np.zeros(len(new), np.int64), {}
+        letters, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        for a in range(0, len(letters), 64 * _JOINED):
+            at = letters[a : a + 64 * _JOINED]
+            words = new.take(pa.array(at)).to_pylist()
+            for k, ids in zip(range(0, len(at), _JOINED), self._coded([" ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)]), strict=True):
+                own = at[k : k + _JOINED]
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(own):
+                    sizes[own] = np.diff(ends, prepend=0)
+                    parts.update(zip(own.tolist(), np.split(ids, ends[:-1]), strict=True))
+                else:
+                    others = np.append(others, own)
+        for a in range(0, len(others), 4096):
+            at = others[a : a + 4096]
+            for i, ids in zip(at.tolist(), self._coded(new.take(pa.array(at)).to_pylist()), strict=True):
+                sizes[i], parts[i] = len(ids), ids
+        return np.concatenate([parts[i] for i in range(len(new))]) if len(new) else np.zeros(0, np.uint32), sizes
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes) of distinct words."""
+        at = pc.index_in(words, value_set=self.words)
+        fresh = pc.is_null(at).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(fresh))
+        ids, sizes = self._learn(new)
+        begins = np.cumsum(sizes) - sizes
+        starts, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[fresh], lengths[fresh] = begins + len(self.flat), sizes
+        starts[~fresh], lengths[~fresh] = self.starts[at[~fresh]], self.sizes[at[~fresh]]
+        flat = np.concatenate([self.flat, ids])
+        short = pc.less_equal(pc.binary_length(new), 64).to_numpy(zero_copy_only=False)
+        if len(self.words) + len(new) > self.most:
+            self._forget()
+        kept = np.flatnonzero(short)
+        self.starts = np.concatenate([self.starts, (np.cumsum(sizes[kept]) - sizes[kept] + len(self.flat)).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes[kept].astype(np.int32)])
+        self.flat = np.concatenate([self.flat, _gather(ids, begins[kept], sizes[kept])])
+        self.words = pa.concat_arrays([self.words, new.filter(pa.array(short))])
+        return flat, starts, lengths
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        runs = lists.flatten().dictionary_encode()
+        words, number = runs.dictionary, runs.indices.to_numpy(zero_copy_only=False)
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        core = pc.ascii_rtrim(words, characters=_MARKS)
+        closed = pc.and_(pc.not_equal(core, words), pc.match_substring_regex(core, "[0-9a-z]$"))
+        core = pc.if_else(closed, core, words)
+        both = pa.chunked_array([core, self._tails(words, core)]).dictionary_encode().combine_chunks()
+        flat, starts, sizes = self._table(both.dictionary)
+        own = both.indices.to_numpy(zero_copy_only=False)
+        halves = np.stack([own[: len(words)], own[len(words) :]], axis=1).ravel()  # core, tail, core, tail ...
+        flat = _gather(flat, starts[halves], sizes[halves])
+        sizes = sizes[halves].reshape(-1, 2).sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        bounds = lists.offsets.to_numpy(zero_copy_only=False)
+        bounds = bounds - bounds[0]
+        counts = np.concatenate([[0], np.cumsum(sizes[number])])[bounds]
+        return _gather(flat, starts[number], sizes[number]), np.diff(counts)
+
+    @staticmethod
+    def _tails(words: pa.Array, core: pa.Array) -> pa.Array:
+        """What follows each core in its word."""
+        data, offsets = _bytes_of(words)
+        begin, end = offsets[:-1] + pc.binary_length(core).to_numpy(zero_copy_only=False), offsets[1:]
+        sizes = end - begin
+        out = np.zeros(len(words) + 1, np.int32)
+        np.cumsum(sizes, out=out[1:])
+        return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(out), pa.py_buffer(_gather(data, begin, sizes))])
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty. Reads some megabytes of texts at a time."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        special, low = np.zeros(len(texts), bool), pc.ascii_lower(texts)
+        for content in self.specials:
+            special |= pc.match_substring(low, content).to_numpy(zero_copy_only=False)
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (4 << 20), "right")))
+            ids, counts = self._split(texts.slice(at, end - at))
+            stops = np.cumsum(counts)
+            for i in range(end - at):
+                yield self._coded([texts[at + i].as_py()])[0] if special[at + i] else ids[stops[i] - counts[i] : stops[i]]
+            at = end
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8), offsets
+
+
+@functools.lru_cache(1)
 def word_ids(path: str) -> WordIds:
     """One a worker, so that its tasks share what is known."""
     return WordIds(path)
@@ -199,26 +321,31 @@ def word_ids(path: str) -> WordIds:
 
 def document_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids if asked for): each whole text's ids and ``end_id``,
-    cut into pieces of ``capacity`` ids where it is longer. A null or empty text is its ``end_id``."""
+    cut into pieces of ``capacity`` ids where it is longer. A null or empty text is its ``end_id``; the
+    string of a special token gives that token's id, as in the tokenizer."""
     spark = prepared(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 5 + keep_ids]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
     tail, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def cut(stream):
         encode = word_ids(path)
         for batch in stream:
-            ids, texts = column(batch, "doc_id").to_pylist(), column(batch, "body").to_pylist()
-            for i in range(0, len(ids), 256):
-                rows = []
-                for doc, data in zip(ids[i : i + 256], encode(["" if x is None else x for x in texts[i : i + 256]]), strict=True):
-                    data += tail
-                    for k, at in enumerate(range(0, len(data), step)):
-                        part = data[at : at + step]
-                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: 5 + keep_ids])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
+            rows: list[tuple] = []
+            for doc, ids in zip(column(batch, "doc_id").to_pylist(), encode(column(batch, "body")), strict=True):
+                data = ids.astype("<u4").tobytes() + tail
+                for k, at in enumerate(range(0, len(data), step)):
+                    part = data[at : at + step]
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: 5 + keep_ids])
+                if len(rows) >= 1024:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return source.mapInArrow(cut, schema)
+    return source.mapInArrow(released(cut), schema)
 
 
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, keep_ids: bool = False) -> DataFrame:
@@ -229,46 +356,95 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     their own, an empty table gives no rows. Other columns are ignored. Shards are drawn by a hash of a
     number of the row, so that no id is hot; a piece of ``capacity`` ids is a sequence by itself.
     """
-    spark = df.sparkSession
     cut = document_pieces(df, path, id_col, text_col, end_id, capacity, keep_ids)
     pieces = written(cut.withColumn("no", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") == capacity).select("*", (-1 - F.col("no")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, done, epoch = pieces.where(F.col("length") < capacity), [whole], 0
+    short = pieces.where(F.col("length") < capacity)
+    rest, places, epoch = short.select("no", "length"), [], 0
     n = rest.count()
     while n:
         shards = -(-n // shard_items)
-        packed = written(_epoch(spark, rest, epoch, shards, capacity), "packed")
+        packed = written(_places(_packed_shards(rest, epoch, shards, capacity), epoch, capacity), "packed")
         last = shards == 1
         if not last:
             left = packed.where(~F.col("elite")).count()
             last = 4 * left > n
-        done.append((packed if last else packed.where("elite")).drop("elite"))
-        rest, n, epoch = packed.where(~F.col("elite")).drop("elite", "sequence_id", "offset"), 0 if last else left, epoch + 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        places.append((packed if last else packed.where("elite")).select(F.col("no").alias("of"), "sequence_id", "offset"))
+        rest, n, epoch = packed.where(~F.col("elite")).select("no", "length"), 0 if last else left, epoch + 1
+    out = whole
+    if places:
+        out = whole.unionByName(short.join(functools.reduce(DataFrame.union, places), F.col("no") == F.col("of")).drop("of"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)
 
 
-def _epoch(spark, rest: DataFrame, epoch: int, shards: int, capacity: int) -> DataFrame:
-    """Each shard of ``rest`` packed by an island."""
-    out = spark.createDataFrame([], rest.schema).selectExpr("*", "0L as sequence_id", "0L as offset", "true as elite").schema
-    arrow = arrow_schema(out)
+_SHARD = "shard long, island long, numbers binary, lengths binary, plan binary, fewest boolean"
 
-    def island(stream):
+
+def _shard_row(shard: int, island: int, numbers: bytes, lengths: list[int], plan: Plan, capacity: int) -> pa.RecordBatch:
+    row = (shard, island, numbers, np.array(lengths, "<i4").tobytes(), plan.dumps(len(lengths)), len(plan.items) <= lower_bound(lengths, capacity))
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["shard", "island", "numbers", "lengths", "plan", "fewest"])
+
+
+def _packed_shards(rest: DataFrame, epoch: int, shards: int, capacity: int) -> DataFrame:
+    """A row for each shard of ``rest``: its items, their lengths and the best plan that the islands find."""
+    tasks = min(shards, max(1, rest.sparkSession.sparkContext.defaultParallelism * 64))
+
+    def start(stream):
         for run in groups(stream, ["shard"]):
             run = run.sort_by("no")
-            shard, lengths = run["shard"][0].as_py(), longs(run["length"].combine_chunks()).tolist()
-            number, offset, elite = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
-            for b, items in enumerate(evolve(lengths, capacity, seed=shard)):
-                at = 0
-                for i in sorted(items):
-                    number[i], offset[i] = b, at
-                    at += lengths[i]
-                elite[items] = at >= ELITE * capacity
-            made = run.drop_columns(["shard"]).append_column("sequence_id", pa.array((np.int64(epoch) << 56) | (np.int64(shard) << 24) | number)).append_column("offset", pa.array(offset)).append_column("elite", pa.array(elite))
-            yield from made.cast(arrow).to_batches()
-
-    shard = F.pmod(F.xxhash64("no", F.lit(epoch)), F.lit(shards))
-    dealt = rest.withColumn("shard", shard).repartition(min(shards, max(1, spark.sparkContext.defaultParallelism * 64)), "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(island, out)
+            lengths = longs(run["length"].combine_chunks()).tolist()
+            yield _shard_row(run["shard"][0].as_py(), 0, longs(run["no"].combine_chunks()).astype("<i8").tobytes(), lengths, best_fit_decreasing(lengths, capacity), capacity)
+
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("no", F.lit(epoch)), F.lit(shards))).repartition(tasks, "shard").sortWithinPartitions("shard")
+    first = written(dealt.mapInArrow(released(start), _SHARD), "shards")
+    done, worlds = first.where("fewest"), first.where("not fewest")
+    if worlds.isEmpty():
+        return first
+    worlds = worlds.withColumn("island", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ISLANDS - 1).cast("long")))).select(first.columns)
+    for turn in range(ROUNDS):
+        worlds = written(_round(worlds, tasks, epoch * ROUNDS + turn, capacity), "worlds")
+        if worlds.where("not fewest").isEmpty():
+            break
+
+    def best(stream):
+        for run in groups(stream, ["shard"]):
+            lengths = np.frombuffer(run["lengths"][0].as_py(), "<i4").tolist()
+            plans = [Plan.loads(x, lengths, capacity) for x in run["plan"].to_pylist()]
+            yield _shard_row(run["shard"][0].as_py(), 0, run["numbers"][0].as_py(), lengths, max(plans, key=lambda p: p.fitness), capacity)
+
+    return done.unionByName(worlds.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(released(best), _SHARD))
+
+
+def _round(worlds: DataFrame, tasks: int, turn: int, capacity: int) -> DataFrame:
+    """Each island of each shard evolves in a group of its own; its elite goes on to the next island."""
+
+    def live(stream):
+        for run in groups(stream, ["shard", "island"]):
+            shard, own, numbers = run["shard"][0].as_py(), run["island"][0].as_py(), run["numbers"][0].as_py()
+            lengths = np.frombuffer(run["lengths"][0].as_py(), "<i4").tolist()
+            plans = [Plan.loads(x, lengths, capacity) for x in sorted(set(run["plan"].to_pylist()))]
+            island = Island(lengths, capacity, plans, (turn * ISLANDS + own) * 1_000_003 + shard).grow(GENERATIONS)
+            for plan in [island.elite] if len(island.elite.items) <= lower_bound(lengths, capacity) else island.plans:
+                yield _shard_row(shard, own, numbers, lengths, plan, capacity)
+            yield _shard_row(shard, (own + 1) % ISLANDS, numbers, lengths, island.elite, capacity)
+
+    dealt = worlds.repartition(tasks * ISLANDS, "shard", "island").sortWithinPartitions("shard", "island")
+    return dealt.mapInArrow(released(live), _SHARD)
+
+
+def _places(shards: DataFrame, epoch: int, capacity: int) -> DataFrame:
+    """(no, length, sequence_id, offset, elite): where the plan of each shard puts its items."""
+
+    def put(stream):
+        for batch in stream:
+            for shard, numbers, lengths, plan in zip(*(column(batch, c).to_pylist() for c in ("shard", "numbers", "lengths", "plan")), strict=True):
+                numbers, lengths, plan = np.frombuffer(numbers, "<i8"), np.frombuffer(lengths, "<i4").astype(np.int64), np.frombuffer(plan, "<i4").astype(np.int64)
+                order = np.argsort(plan, kind="stable")
+                ends = np.cumsum(lengths[order])
+                new = np.append(True, plan[order][1:] != plan[order][:-1])
+                offset = np.empty(len(plan), np.int64)
+                offset[order] = ends - lengths[order] - np.repeat((ends - lengths[order])[new], np.diff(np.append(np.flatnonzero(new), len(plan))))
+                elite = np.bincount(plan, weights=lengths)[plan] >= ELITE * capacity
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(lengths), pa.array((np.int64(epoch) << 56) | (np.int64(shard) << 24) | plan), pa.array(offset), pa.array(elite)], names=["no", "length", "sequence_id", "offset", "elite"])
+
+    return shards.mapInArrow(released(put), "no long, length long, sequence_id long, offset long, elite boolean")

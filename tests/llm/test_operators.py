@@ -314,13 +314,48 @@ def test_packing(docs):
     assert len(sequences) <= 1.05 * sum(r["length"] for r in rows) / 64 + 4
 
 
-def test_genetic_search_beats_first_order_and_keeps_all():
-    draw = random.Random(4)
-    lengths = [draw.randint(20, 100) for _ in range(120)]
-    best = packing.evolve(lengths, 150, seed=1)
-    plain = packing._rebuilt([], list(range(120)), lengths, 150)
-    assert sorted(i for b in best for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 150 for b in best)
-    assert len(best) <= len(plain)
+def test_special_tokens_and_odd_texts_are_encoded_as_the_tokenizer_does():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, draw = Tokenizer.from_file(WORD_BPE), random.Random(8)
+    alphabet = "aAzZ éÉßçñ.,;:!?*$%&#'\"0 9\n\t\x0b\x0c\r\x1c\u0085\u3000日本Σσςİıﬁ½²Ⅷ😀-_/<>|e\u030a"
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    texts += ["hello <|endoftext|> world", "x<|startoftext|>Y", "<|ENDOFTEXT|>", "<|endoftext|", "it's we'll DON'T.", "", "a" * 5000 + " " + "b." * 90]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in want[3000] and 49406 in want[3001]
+    for most in (1_000_000, 50):  # a table that forgets at 50 words gives the same
+        assert [x.tolist() for x in packing.WordIds(WORD_BPE, most)(pa.array([*texts, None]))] == [*want, []]
+
+
+def test_genetic_search_beats_best_fit_and_keeps_all():
+    gained = 0
+    for seed in range(8):
+        draw = random.Random(seed)
+        lengths = [draw.randint(20, 100) for _ in range(120)]
+        best = packing.evolve(lengths, 150, seed=seed)
+        plain = packing.best_fit_decreasing(lengths, 150).items
+        assert sorted(i for b in best for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 150 for b in best)
+        assert len(best) <= len(plain)
+        gained += len(plain) - len(best)
+    assert gained >= 3
+
+
+def test_elites_move_between_island_tasks(spark):
+    draw = random.Random(3)
+    lengths = [draw.randint(20, 100) for _ in range(240)]
+    least = packing.lower_bound(lengths, 150)
+    first = packing.best_fit_decreasing(lengths, 150)
+    assert len(first.items) > least
+    row = packing._shard_row(4, 0, np.arange(240).astype("<i8").tobytes(), lengths, first, 150).to_pylist()[0]
+    worlds = spark.createDataFrame([{**row, "island": i} for i in range(packing.ISLANDS)], packing._SHARD)
+    rows = packing._round(worlds, 1, 0, 150).collect()
+    plans = [(r["island"], packing.Plan.loads(bytes(r["plan"]), lengths, 150).fitness) for r in rows]
+    best = max(f for _, f in plans)  # the best elite is on its own island and on the next one
+    on = {i for i, f in plans if f == best}
+    assert len(on) >= 2 and any((i + 1) % packing.ISLANDS in on for i in on)
+    packed = packing._packed_shards(spark.createDataFrame(list(enumerate(lengths)), "no long, length long"), 0, 1, 150).collect()
+    assert len(packed) == 1 and packing.Plan.loads(bytes(packed[0]["plan"]), lengths, 150).fitness > first.fitness
 
 
 def test_secret_spans(spark):
