@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stowage.session import prepared, read_table, shared_dir
 
-__all__ = ["LOWER", "UPPER", "Bits", "BoundedCache", "arrow_schema", "bits_of", "column", "components", "groups", "longs", "per_text", "prepared", "read_table", "released", "unused", "written"]
+__all__ = ["LOWER", "UPPER", "Bits", "BoundedCache", "arrow_schema", "bits_of", "column", "components", "groups", "longs", "numbered", "per_text", "prepared", "read_table", "released", "unused", "written"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +51,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number a row that stays the same however often it is read. The rows of a plain scan
+    are numbered where they lie: its splits, and the order in them, don't depend on the columns read. All
+    else is written first."""
+    nodes = re.findall(r"^[\s:+|*()\d-]*(\w+)", df._jdf.queryExecution().sparkPlan().toString(), re.M)
+    plain = set(nodes) <= {"Project", "FileScan", "ColumnarToRow"}
+    return (df if plain else written(df, "numbered")).withColumn(name, F.monotonically_increasing_id())
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -67,7 +67,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     word = np.cumsum(begins[at]) - 1
     place = at - starts[word]
     runs = np.flatnonzero(begins[at])
-    sums = np.add.reduceat(_BYTE[data[at]] * _PLACE[place & (_WIDTH - 1)], runs)
+    weight = _PLACE[place & (_WIDTH - 1)]
+    far = np.flatnonzero(place >= _WIDTH)
+    if len(far):  # beyond the table's places, every stretch of a word has a factor of its own
+        weight[far] *= mix((place[far] // _WIDTH).astype(np.uint64)) | np.uint64(1)
+    sums = np.add.reduceat(_BYTE[data[at]] * weight, runs)
     length = np.diff(np.append(runs, len(at))).astype(np.uint64)
     return mix(sums + length * _ROLE[63]), np.searchsorted(starts, offsets)
 
