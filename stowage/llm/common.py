@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stowage.session import prepared, read_table, shared_dir
 
-__all__ = ["LOWER", "UPPER", "Bits", "BoundedCache", "arrow_schema", "bits_of", "column", "components", "groups", "longs", "numbered", "per_text", "prepared", "read_table", "released", "unused", "written"]
+__all__ = ["LOWER", "UPPER", "Bits", "BoundedCache", "arrow_schema", "bits_of", "column", "components", "groups", "longs", "numbered", "per_text", "prepared", "read_table", "released", "unused", "without", "written"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,7 +113,7 @@ def groups(stream: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 class Bits:
     """A Bloom filter of ``2**log_bits`` bits with two probes. Its size is fixed, whatever the number of
-    keys: a full one lets every row through, which costs time and never a row."""
+    keys: a full one lets more rows through, which costs time and never a row."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -133,22 +133,42 @@ class Bits:
         return out
 
 
-def bits_of(df: DataFrame, key: str, log_bits: int = 23) -> Bits:
-    """The filter of a long column. The driver gets 2**(log_bits - 6) words at most (1 MiB for 23)."""
-    size = 1 << (log_bits - 6)
+LEAST_BITS, MOST_BITS = 16, 27
+
+
+def bits_of(df: DataFrame, key: str) -> Bits:
+    """The filter of a long column without repeats, with some 16 bits a key, from 2**16 to 2**27 bits: the
+    driver gets, and broadcasts, 16 MiB at most."""
+    keys = df.select(key).where(F.col(key).isNotNull())
+    size = 1 << (min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length())) - 6)
 
     def words(stream):
         for batch in stream:
-            keys = longs(column(batch, key))
-            for p in Bits.places(keys, size):
+            found = longs(column(batch, key))
+            for p in Bits.places(found, size):
                 yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
     out = np.zeros(size, np.uint64)
-    rows = df.select(key).where(F.col(key).isNotNull()).mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = keys.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return Bits(out)
 
 
+def without(rows: DataFrame, number: str, gone: DataFrame, lost: str) -> DataFrame:
+    """The rows whose number (a column of ``numbered``) is not in the column ``lost`` of ``gone``, a
+    written table. Only rows that may be in it, by a filter of bounded size, are shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(bits_of(gone, lost))
+
+    @F.arrow_udf("boolean")
+    def hit(numbers: pa.Array) -> pa.Array:
+        return pa.array(sent.value.hits(longs(numbers)))
+
+    flag = unused(rows, "may_go")
+    marked = rows.withColumn(flag, hit(F.col(number)))
+    stay = marked.where(F.col(flag)).join(gone, F.col(number) == F.col(lost), "left_anti")
+    return marked.where(~F.col(flag)).unionByName(stay).drop(flag)
+
+
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
     """(node, root): the smallest node that each node of the edges can reach, for all nodes but those
     that are it themselves, by alternating large and small stars. Each half step is a min by key and a join back, so that a hub's links are never

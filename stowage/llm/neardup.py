@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import bits_of, column, components, groups, longs, numbered, prepared, released, unused, written
+from stowage.llm.common import bits_of, column, components, groups, longs, numbered, prepared, released, unused, without, written
 from stowage.llm.kernels import minhash, mix, set_digest, shingle_sets
 
 SYMBOLS, CHUNK = 32, 4
@@ -264,4 +264,4 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     order = F.struct(F.col("id").isNull().alias("none"), "id", "no")
     tops = classes.groupBy("component_id").agg(F.min(order).alias("top")).select(F.col("top.no").alias("stays"))
     gone = classes.join(tops, F.col("no") == F.col("stays"), "left_anti").select(F.col("no").alias(lost))
-    return rows.join(gone, F.col(number) == F.col(lost), "left_anti").drop(number)
+    return without(rows, number, written(gone, "gone"), lost).drop(number)
