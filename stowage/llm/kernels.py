@@ -7,13 +7,13 @@ passes instead of a Python loop, and memory is bounded by ``SLICE_BYTES`` (or on
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _WIDTH = 4096
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,16 +42,26 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(offsets) else (data[:0], np.zeros(1, np.int64))
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) in runs of about SLICE_BYTES, one row at least."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) in runs of about ``size`` bytes, one row at least."""
     data, offsets = flat(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
 
+def spans(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs of about ``size`` bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, end
+        at = end
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in order, and the
     index of each row's first word (one more entry closes the last row)."""
@@ -124,3 +134,44 @@ def mix_fast(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 def set_digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parts of ``flat`` that begin at ``starts``, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+class WordTable:
+    """What ``learn`` gives for words, as (numbers, how many for each word), kept in Arrow (the words) and
+    numpy: of ``most`` words of up to 64 bytes, some 40 bytes each, and forgotten beyond that."""
+
+    def __init__(self, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
+        self.learn, self.most = learn, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, starts, sizes) of distinct words."""
+        at = pc.index_in(words, value_set=self.words)
+        fresh = pc.is_null(at).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(fresh))
+        made, sizes = self.learn(new)
+        begins = np.cumsum(sizes) - sizes
+        starts, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[fresh], lengths[fresh] = begins + len(self.flat), sizes
+        starts[~fresh], lengths[~fresh] = self.starts[at[~fresh]], self.sizes[at[~fresh]]
+        flat = np.concatenate([self.flat, made])
+        short = pc.less_equal(pc.binary_length(new), 64).to_numpy(zero_copy_only=False)
+        if len(self.words) + len(new) > self.most:
+            self._forget()
+        kept = np.flatnonzero(short)
+        self.starts = np.concatenate([self.starts, (np.cumsum(sizes[kept]) - sizes[kept] + len(self.flat)).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes[kept].astype(np.int32)])
+        self.flat = np.concatenate([self.flat, gather(made, begins[kept], sizes[kept])])
+        self.words = pa.concat_arrays([self.words, new.filter(pa.array(short))])
+        return flat, starts, lengths

@@ -574,7 +574,7 @@ def test_toxicity(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None)
     held = [(i % 4 == 0, got[i]["predicted"]) for i in range(400) if got[i]["held_out"]]
     assert sum(y == p for y, p in held) >= 0.97 * len(held) and all(0 <= r["score"] <= 1 for r in got.values())
-    assert got[9001]["predicted"] == got[9002]["predicted"] == 0 and got[9001]["score"] == got[9002]["score"] and got[9001]["evidence"] == []
+    assert got[9001]["predicted"] == got[9002]["predicted"] == 0 and got[9001]["score"] == got[9002]["score"]
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
     for a, b in ((docs.limit(0), labels), (docs, labels.limit(0)), (docs, labels.where("toxic = 0"))):
         assert {r["score"] for r in toxicity.toxicity(docs, toxicity.fit(a, b)).collect()} == {0.0}
@@ -593,16 +593,45 @@ def test_long_runs_are_read_whole(spark):
 
 def test_nearest_examples_are_exact():
     draw = np.random.default_rng(4)
-    dense = draw.random((333, 20)).astype(np.float32) * (draw.random((333, 20)) > 0.7)
+    dense = draw.random((333, 20)) * (draw.random((333, 20)) > 0.7)
+    dense[100:140] = dense[100]  # ties
     norm = np.linalg.norm(dense, axis=1, keepdims=True)
-    dense = np.where(norm > 0, dense / np.maximum(norm, 1e-9), 0).astype(np.float32)
-    index = toxicity.BlockMaxIndex(dense, np.arange(333), np.zeros(333))
+    dense = np.where(norm > 0, dense / np.maximum(norm, 1e-9), 0)
+    index = toxicity.Index([(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in dense], 20, np.arange(333), np.zeros(333))
     for i in range(0, 333, 7):
         terms = np.flatnonzero(dense[i])
         if len(terms):
-            rows, cosines = index.nearest(terms, dense[i, terms], 9, left_out=i)
-            scores = np.round(dense[:, terms] @ dense[i, terms], 5)
-            scores[i] = -1
-            best = [j for j in np.lexsort((np.arange(333), -scores)) if scores[j] > 0][:9]
-            assert np.allclose(cosines, scores[best], atol=3e-5) and len(set(rows.tolist())) == len(best)  # the last digit depends on the order of sums
-            assert np.allclose(scores[rows], scores[best], atol=3e-5)
+            for k in (1, 9, 200):
+                rows, cosines = index.nearest(terms, dense[i, terms], k, left_out=i)
+                scores = np.zeros(333)
+                for t in terms:  # in the order of the terms, as the index adds them up
+                    scores += dense[:, t] * dense[i, t]
+                scores[i] = -1
+                best = [j for j in np.lexsort((np.arange(333), -scores)) if scores[j] > 0][:k]
+                assert rows.tolist() == best and cosines.tolist() == scores[best].tolist()
+
+
+def test_terms_are_counted_as_they_are_made():
+    draw = random.Random(2)
+    words = ["vile", "Vileness,", "(vilely)", "evil", "İvile", "ΣΑΣ", "a,b", "_", "", "é", "q" * 120 + ",vile", "clown", "clowns"]
+    vocabulary = {t: i for i, t in enumerate(["vile", "^vile", "lenes", "clown", "σας", "ness$", "a,b", "own$"])}
+    texts = [draw.choice([" ", "\n", "\u3000"]).join(draw.choice(words) for _ in range(draw.randint(0, 30))) for _ in range(200)]
+    for text, (terms, counts) in zip([*texts, None], toxicity._counter(vocabulary)(pa.array([*texts, None])), strict=True):
+        want = {}
+        for run in (text or "").split():
+            want[len(vocabulary)] = want.get(len(vocabulary), 0) + (len(toxicity.words_of(run)) if len(run) > 100 else 1)
+            for t in toxicity.terms_of(run):
+                if t in vocabulary:
+                    want[vocabulary[t]] = want.get(vocabulary[t], 0) + 1
+        assert dict(zip(terms.tolist(), counts.tolist(), strict=True)) == want and terms.tolist() == sorted(want)
+
+
+def test_impure_parts_of_a_telling_word_go():
+    rows = [{"id": i, "terms": [0, 1, 2] if i < 10 else [1] if i < 14 else [3]} for i in range(30)]  # 1: a part of 0 that clean words have too
+    label = {i: int(i < 10 or i == 29) for i in range(30)}
+    assert toxicity._unlike_terms(rows, label, 4).tolist() == [True, False, True, True]
+
+
+def test_documents_with_a_term_are_counted_over_all(spark):
+    docs = spark.createDataFrame([(1, "a vile b"), (2, "Vile vile"), (3, None), (4, "x"), (5, "vile,vile " + "q" * 200)], "doc_id long, text string").repartition(3)
+    assert toxicity._idf(docs, "text", {"vile": 0, "none": 1, "vile,vile": 2}).tolist() == np.log(1 + 5 / np.array([2, 1, 1, 4])).tolist()
