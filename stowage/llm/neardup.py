@@ -146,19 +146,20 @@ def _members(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(longs(column(batch, "node")), SYMBOLS)), pa.array(np.repeat(longs(column(batch, "size")), SYMBOLS))], names=["key", "node", "size"])
 
     schema = "key long, node long, size long"
-    keyed = nodes.select("sig", "node", "size").mapInArrow(released(enumerate_keys), schema)
+    signed = nodes.select("sig", "node", "size")
+    keyed = signed.mapInArrow(released(enumerate_keys), schema)
     # Most keys are met once. What repeats is counted first (a hot key is one row a map task) ...
     repeated = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
     likely = nodes.sparkSession.sparkContext.broadcast(bits_of(repeated, "key"))
 
     def only_repeated(stream):
-        for batch in stream:
+        for batch in enumerate_keys(stream):
             at = np.flatnonzero(likely.value.hits(longs(column(batch, "key"))))
             if len(at):
                 yield batch.take(pa.array(at))
 
     # ... and only the rows that may have such a key are dealt to it.
-    met = written(keyed.mapInArrow(released(only_repeated), schema).join(repeated, "key"), "met")
+    met = written(signed.mapInArrow(released(only_repeated), schema).join(repeated, "key"), "met")
     marks = met.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("low"), F.max("node").alias("high"))
     single = marks.where("low < high").groupBy("n", "mark", "low", "high").agg(F.min("key").alias("key")).select("key", "low", "high")
     return written(met.join(single, "key"), "members")

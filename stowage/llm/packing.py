@@ -10,7 +10,6 @@ stay, and the documents of the other bins migrate to fewer shards.
 from __future__ import annotations
 
 import functools
-import json
 import os
 import random
 import zlib
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import column, groups, longs, prepared, released, written
+from stowage.llm.kernels import WordTable, gather, spans
 
 CAPACITY = 4096
 SHARD_ITEMS = 32768
@@ -182,35 +182,19 @@ _LETTERS = "^[a-zß-öø-ÿÀ-ÖØ-Þ]+$"
 _JOINED = 64
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The parts of ``flat`` that begin at ``starts``, one after another."""
-    ends = np.cumsum(sizes)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
-
-
 class WordIds:
     """Token ids of texts, as uint32. Runs between ASCII white space are encoded once: the tokenizer drops
     white space, so that a text's ids are those of its runs, one after another. Nor does a token cross
     from an ASCII letter or digit to the marks at a run's end, and A-Z count as a-z. A text that holds a
-    special token's string, in any case, is encoded as a whole.
-
-    What is known is a table in Arrow (words) and numpy (their ids): of ``most`` words of up to 64 bytes,
-    some 40 MB, and forgotten beyond that."""
+    special token's string, in any case, is encoded as a whole."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
-        self.tokenizer, self.most = _tokenizer(path), most
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.specials = [t["content"].lower() for t in spec.get("added_tokens", ())]
-        vocabulary, mark = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+    def __init__(self, path: str, most: int = 400_000):
+        self.tokenizer, self.table = _tokenizer(path), WordTable(self._learn, most)
+        self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary, mark = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a word
         if mark:
             self.last[[n for t, n in vocabulary.items() if t.endswith(mark)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
-        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _coded(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -238,28 +222,6 @@ class WordIds:
                 sizes[i], parts[i] = len(ids), ids
         return np.concatenate([parts[i] for i in range(len(new))]) if len(new) else np.zeros(0, np.uint32), sizes
 
-    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, sizes) of distinct words."""
-        at = pc.index_in(words, value_set=self.words)
-        fresh = pc.is_null(at).to_numpy(zero_copy_only=False)
-        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
-        new = words.filter(pa.array(fresh))
-        ids, sizes = self._learn(new)
-        begins = np.cumsum(sizes) - sizes
-        starts, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        starts[fresh], lengths[fresh] = begins + len(self.flat), sizes
-        starts[~fresh], lengths[~fresh] = self.starts[at[~fresh]], self.sizes[at[~fresh]]
-        flat = np.concatenate([self.flat, ids])
-        short = pc.less_equal(pc.binary_length(new), 64).to_numpy(zero_copy_only=False)
-        if len(self.words) + len(new) > self.most:
-            self._forget()
-        kept = np.flatnonzero(short)
-        self.starts = np.concatenate([self.starts, (np.cumsum(sizes[kept]) - sizes[kept] + len(self.flat)).astype(np.int32)])
-        self.sizes = np.concatenate([self.sizes, sizes[kept].astype(np.int32)])
-        self.flat = np.concatenate([self.flat, _gather(ids, begins[kept], sizes[kept])])
-        self.words = pa.concat_arrays([self.words, new.filter(pa.array(short))])
-        return flat, starts, lengths
-
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         runs = lists.flatten().dictionary_encode()
@@ -270,16 +232,16 @@ class WordIds:
         closed = pc.and_(pc.not_equal(core, words), pc.match_substring_regex(core, "[0-9a-z]$"))
         core = pc.if_else(closed, core, words)
         both = pa.chunked_array([core, self._tails(words, core)]).dictionary_encode().combine_chunks()
-        flat, starts, sizes = self._table(both.dictionary)
+        flat, starts, sizes = self.table(both.dictionary)
         own = both.indices.to_numpy(zero_copy_only=False)
         halves = np.stack([own[: len(words)], own[len(words) :]], axis=1).ravel()  # core, tail, core, tail ...
-        flat = _gather(flat, starts[halves], sizes[halves])
+        flat = gather(flat, starts[halves], sizes[halves])
         sizes = sizes[halves].reshape(-1, 2).sum(axis=1)
         starts = np.cumsum(sizes) - sizes
         bounds = lists.offsets.to_numpy(zero_copy_only=False)
         bounds = bounds - bounds[0]
         counts = np.concatenate([[0], np.cumsum(sizes[number])])[bounds]
-        return _gather(flat, starts[number], sizes[number]), np.diff(counts)
+        return gather(flat, starts[number], sizes[number]), np.diff(counts)
 
     @staticmethod
     def _tails(words: pa.Array, core: pa.Array) -> pa.Array:
@@ -289,7 +251,7 @@ class WordIds:
         sizes = end - begin
         out = np.zeros(len(words) + 1, np.int32)
         np.cumsum(sizes, out=out[1:])
-        return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(out), pa.py_buffer(_gather(data, begin, sizes))])
+        return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(out), pa.py_buffer(gather(data, begin, sizes))])
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; null counts as empty. Reads some megabytes of texts at a time."""
@@ -297,15 +259,11 @@ class WordIds:
         special, low = np.zeros(len(texts), bool), pc.ascii_lower(texts)
         for content in self.specials:
             special |= pc.match_substring(low, content).to_numpy(zero_copy_only=False)
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (4 << 20), "right")))
+        for at, end in spans(texts):
             ids, counts = self._split(texts.slice(at, end - at))
             stops = np.cumsum(counts)
             for i in range(end - at):
                 yield self._coded([texts[at + i].as_py()])[0] if special[at + i] else ids[stops[i] - counts[i] : stops[i]]
-            at = end
 
 
 def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +370,8 @@ def _packed_shards(rest: DataFrame, epoch: int, shards: int, capacity: int) -> D
             plans = [Plan.loads(x, lengths, capacity) for x in run["plan"].to_pylist()]
             yield _shard_row(run["shard"][0].as_py(), 0, run["numbers"][0].as_py(), lengths, max(plans, key=lambda p: p.fitness), capacity)
 
-    return done.unionByName(worlds.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(released(best), _SHARD))
+    found = worlds.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(released(best), _SHARD)
+    return done.unionByName(written(found, "best"))
 
 
 def _round(worlds: DataFrame, tasks: int, turn: int, capacity: int) -> DataFrame:

@@ -125,7 +125,7 @@ class Markov:
 
     def random_runs(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(text's number, start, end) in bytes of the runs that look random."""
-        for first, _, data, offsets in slices(texts):
+        for first, _, data, offsets in slices(texts, 1 << 18):
             before, last, row, starts = _grams(data, offsets)
             if not len(last):
                 continue
