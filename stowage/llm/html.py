@@ -3,7 +3,7 @@
 The pages of one host are merged: every element path (tags with their class, id and role) counts its
 pages, the texts seen at it, and the child sequences it has been presented with. The entropy of texts
 and presentations over the pages is a path's importance: what all pages repeat in one form has none.
-Branches of low importance are removed from each page, then what its own tags declare to be no article.
+Branches of low importance are removed from each page, and what its own tags declare to be no article.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import column, prepared
+from stowage.llm.common import column, prepared, released, written
 
 # Kinds of elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption caption address".split())
-_NO_ARTICLE = frozenset("script style noscript template iframe svg canvas object video audio nav header footer aside form button select option input textarea dialog menu head title".split())
+_NO_ARTICLE = frozenset("script style noscript template iframe svg nav footer aside form button select option input textarea dialog menu head title".split())
+_PROSE = _FLOW | _INLINE | frozenset(["section", "article", "main"])  # no cue removes them: their names are often the author's
 _CUES = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner banners cookie cookies consent
     notice notices gdpr popup modal overlay sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead
@@ -32,7 +33,6 @@ _CUES = frozenset(
     subscription signup login search toolbar widget widgets pagination pager skip copyright""".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
-_MAIN_WORDS = frozenset("content article post entry story main".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _STOP = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}}
@@ -55,7 +55,6 @@ class Page:
         names = f"{found.get('class', '')} {found.get('id', '')}".lower()
         role = found.get("role", "").lower()
         words = set(re.split(r"[^a-z]+", names)) - {""} if not names.isspace() else set()
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         number_free = re.sub(r"\d+", "", found.get("id", "").lower())  # an id often numbers its page
         mark = ".".join([tag, *sorted(found.get("class", "").lower().split()), *([f"#{number_free}"] if number_free else []), *([role] if role else [])])
         n = len(self.tag)
@@ -63,9 +62,8 @@ class Page:
         self.sign.append(re.sub(r"[\s>]+", "", mark))
         self.parent.append(at)
         self.inside.append([])
-        self.noise.append(hidden or tag in _NO_ARTICLE or role in _ROLES or bool(words & _CUES))
-        if words & _MAIN_WORDS and not words & _CUES:
-            self.named.append(n)
+        masthead = tag == "header" and not any(self.tag[u] in ("article", "main") for u in _ancestors(self, at))
+        self.noise.append(tag in _NO_ARTICLE or masthead or role in _ROLES or tag not in _PROSE and bool(words & _CUES))
         if tag in ("article", "main") or role in ("main", "article"):
             self.containers.append(n)
         self.inside[at].append(n)
@@ -73,7 +71,6 @@ class Page:
 
     def _parse(self, text: str) -> None:
         self.containers: list[int] = []
-        self.named: list[int] = []
         at, position, tag_of, parent = 0, 0, self.tag, self.parent
         while True:
             m = _TOKEN.search(text, position)
@@ -175,8 +172,8 @@ def evidence(page: Page) -> tuple[set[str], list[tuple[str, int]], list[tuple[st
     texts = [(paths[n], hash_of(t)) for n, t in page.blocks([0], skipped)]
     styles, children = [], {}
     for n in range(1, len(page.tag)):
-        inner = [page.sign[c] for c in page.inside[n] if not isinstance(c, str)]
-        if page.tag[n] not in _INLINE and page.tag[n] not in _FLOW:
+        if page.tag[n] not in _INLINE:
+            inner = [page.sign[c] for c in page.inside[n] if not isinstance(c, str) and page.tag[c] not in _INLINE]
             styles.append((paths[n], hash_of(" ".join(inner))))
             children[paths[n]] = max(children.get(paths[n], 0), len(inner))
     return set(paths[1:]), texts, styles, children
@@ -193,7 +190,7 @@ def site_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html", l
 
     A text seen on n of a path's m pages has entropy log n / log m; a leaf's importance is one less their
     mean. A branch's is (1 - g**l) of its presentations' entropy and g**l of its texts' importance, where
-    l is its number of children. Only containers can be branches to remove; paths with fewer than
+    l is its number of children that are no inline elements, none in a paragraph. Paths with fewer than
     ``least_pages`` pages, and pages without a host, give no evidence.
     """
 
@@ -221,7 +218,7 @@ def site_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html", l
         yield flushed()
 
     source = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    counts = source.mapInArrow(count, "host string, path string, kind int, feature long, n long").groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(released(count), "host string, path string, kind int, feature long, n long").groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
     spread = F.col("n") * F.log("n")
     of = lambda kind, what: F.sum(F.when(F.col("kind") == kind, what))
     nodes = counts.groupBy("host", "path").agg(
@@ -246,33 +243,30 @@ def host_of(url: str | None) -> str:
 
 
 def main_text(text: str, rules: frozenset[str] | set[str] = frozenset()) -> str:
-    """The article of a page whose host's unimportant branches are ``rules``."""
+    """The article of a page whose host's unimportant branches are ``rules``. What the tags declare to be
+    no article goes, and containers whose class or id says so; then the branches of the rules. Inside an
+    article element the rules count only if they leave half of its text: what all pages of a host repeat
+    may be copies of one article."""
     page = Page(text)
-    usable = [n for n in page.containers if not any(page.noise[u] and u not in page.containers for u in _ancestors(page, n))]
-    usable = [n for n in usable if not page.noise[n]]
+    usable = [n for n in page.containers if not page.noise[n] and not any(page.noise[u] for u in _ancestors(page, n))]
     guard = page.subtree_has(usable)
-    removed = {n for n in range(1, len(page.tag)) if page.noise[n] and n not in guard}
-    if rules:
-        paths = page.paths()
-        removed |= {n for n in range(1, len(page.tag)) if n not in guard and paths[n] in rules and page.tag[n] not in _FLOW}
+    declared = {n for n in range(1, len(page.tag)) if page.noise[n] and n not in guard}
+    paths = page.paths() if rules else []
+    found = {n for n in range(1, len(page.tag)) if n not in guard and paths[n] in rules} if rules else set()
 
-    def read(roots: list[int], gone: set[int]) -> str:
-        return " ".join(t for _, t in page.blocks(roots, gone))
+    def read(roots: list[int]) -> str:
+        whole = " ".join(t for _, t in page.blocks(roots, declared))
+        part = " ".join(t for _, t in page.blocks(roots, declared | found)) if found else whole
+        return whole if roots != [0] and 2 * len(part) < len(whole) else part
 
     inner = [n for n in usable if page.tag[n] == "article" and not any(page.tag[u] == "article" for u in _ancestors(page, n)[1:])]
     outer = [n for n in usable if not any(u in usable for u in _ancestors(page, n)[1:])]
-    best = read(inner, removed) if inner else ""
+    best = read(inner) if inner else ""
     if outer and outer != inner:
-        more = read(outer, removed)
+        more = read(outer)
         if len(best) * 2 < len(more):
             best = more
-    if best:
-        return best
-    named = [n for n in page.named if n not in removed and page.tag[n] not in _INLINE and not any(u in removed for u in _ancestors(page, n))]
-    named = [n for n in named if not any(u in named for u in _ancestors(page, n)[1:])]
-    body = read([0], removed)
-    part = read(named, removed) if named else ""
-    return part if 2 * len(part) >= len(body) and part else body
+    return best or read([0])
 
 
 def _ancestors(page: Page, n: int) -> list[int]:
@@ -296,7 +290,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     spark = prepared(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rules = site_rules(source).select("host", "path").persist()
+    rules = written(site_rules(source).select("host", "path"), "rules")
     few = rules.limit(MOST_RULES + 1).collect()
     by_host: dict[str, set[str]] = {}
     if len(few) <= MOST_RULES:
@@ -305,8 +299,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         source = source.withColumn("rules", F.lit(None).cast("array<string>"))
     else:
         own = rules.groupBy("host").agg(F.collect_set("path").alias("rules"))
-        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)", 1))
-        source = source.withColumn("host", host).join(own, "host", "left").drop("host")
+
+        @F.arrow_udf("string")
+        def host(urls: pa.Array) -> pa.Array:
+            return pa.array([host_of(u) for u in urls.to_pylist()], pa.string())
+
+        source = source.withColumn("host", host("url")).join(own, "host", "left").drop("host")
     sent = spark.sparkContext.broadcast(by_host)
 
     def read(stream):
@@ -316,4 +314,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(text, set(own) if own else sent.value.get(host_of(url), frozenset())) if text else "")
             yield pa.RecordBatch.from_arrays([column(batch, "page_id").cast(pa.int64()), column(batch, "url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"])
 
-    return source.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return source.mapInArrow(released(read), "page_id long, url string, text string, n_chars long")
