@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import bits_of, column, components, groups, longs, prepared, unused, written
+from stowage.llm.common import bits_of, column, components, groups, longs, prepared, released, unused, written
 from stowage.llm.kernels import mix
 
 EDITS = 2
@@ -161,37 +161,34 @@ def _document(doc: int | None, text: str) -> bytes:
 
 
 def _meeting(stream):
-    """The rows of a stream sorted by key whose key has an index entry and two lines at least. Holds the
-    rows of one batch, and of the key that goes on beyond it."""
-    held = None
+    """(key, line, own) of a stream of (key * 2, or one more for a probe; line; short) in order: the rows
+    whose key has an index entry and two lines at least. Holds one batch, and of the key that goes on beyond it one row at most."""
+    last, first, waits = None, 0, None  # the key that may go on, its first line, the row that waits for another line
     for batch in stream:
-        table = pa.Table.from_batches([batch])
-        if held is not None and held.num_rows:
-            table = pa.concat_tables([held, table]).combine_chunks()
-        if not table.num_rows:
+        if not batch.num_rows:
             continue
-        keys = longs(table["key"].combine_chunks())
-        last = int(np.searchsorted(keys, keys[-1], "left"))
-        held = table.slice(last)
-        yield from _met(table.slice(0, last), keys[:last])
-    if held is not None and held.num_rows:
-        yield from _met(held, longs(held["key"].combine_chunks()))
-
-
-def _met(table: pa.Table, keys: np.ndarray):
-    if not len(keys):
-        return
-    new = np.append(True, keys[1:] != keys[:-1])
-    runs = np.flatnonzero(new)
-    of = np.cumsum(new) - 1
-    short = longs(table["short"].combine_chunks())
-    index = np.add.reduceat(table["own"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64), runs)
-    many = np.maximum.reduceat(short, runs) != np.minimum.reduceat(short, runs)
-    keep = np.flatnonzero(((index > 0) & many)[of])
-    if len(keep):
+        keys, short = longs(column(batch, "key")), longs(column(batch, "short"))
+        own, keys = keys & 1 == 0, keys >> 1
+        rows = pa.RecordBatch.from_arrays([pa.array(keys), column(batch, "line"), pa.array(own)], names=["key", "line", "own"])
+        runs = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(runs, len(keys)))
-        out = table.take(pa.array(keep)).append_column("n", pa.array(sizes[of[keep]]))
-        yield from out.select(["key", "line", "own", "n"]).combine_chunks().to_batches()
+        goes_on = last is not None and keys[0] == last
+        firsts, indexed = short[runs], own[runs].copy()
+        if goes_on:  # a key without an index entry has first None
+            indexed[0] = first is not None
+            firsts[0] = first if first is not None else 0
+        many = np.logical_or.reduceat(short != np.repeat(firsts, sizes), runs)
+        if goes_on and first is not None and waits is None:
+            many[0] = True  # the key's rows before have gone on already
+        keep = np.flatnonzero(np.repeat(indexed & many, sizes))
+        if goes_on and waits is not None and many[0]:
+            yield waits
+            waits = None
+        if len(keep):
+            yield rows.take(pa.array(keep))
+        if not (goes_on and len(runs) == 1):
+            last, first = int(keys[-1]), int(firsts[-1]) if indexed[-1] else None
+            waits = rows.slice(int(runs[-1]), 1) if indexed[-1] and not many[-1] else None
 
 
 def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, block: int = BLOCK, least: int | None = None) -> DataFrame:
@@ -228,11 +225,12 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             key, row, own = segment_keys(held, edits, cut)
             if least < cut:
                 key, row, own = (np.concatenate(x) for x in zip((key, row, own), remainder_keys(held, edits, cut), strict=True))
+            key = key & -2 | ~own  # the last bit tells an index entry, which thus comes first
             digest = pa.array(digests, pa.binary())
             short = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
             for a in range(0, len(key), 1 << 17):
                 part = slice(a, a + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), digest.take(pa.array(row[part])), pa.array(own[part]), pa.array(short[row[part]])], names=["key", "line", "own", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), digest.take(pa.array(row[part])), pa.array(short[row[part]])], names=["key", "line", "short"])
 
         for batch in stream:
             held, digests, size = [], [], 0
@@ -252,12 +250,13 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if held:
                 yield from keyed(held, digests)
 
-    keyed = source.select("body").mapInArrow(probes, "key long, line binary, own boolean, short long")
-    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting, "key long, line binary, own boolean, n long")
-    members = written(met.groupBy("key", "line").agg(F.max("own").alias("own"), F.max("n").alias("n")), "members")
+    keyed = source.select("body").mapInArrow(released(probes), "key long, line binary, short long")
+    met = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(released(_meeting), "key long, line binary, own boolean")
+    members = written(met.groupBy("key", "line").agg(F.max("own").alias("own")), "met")
+    members = written(members.join(written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes"), "key"), "members")
     wanted = members.select("line").distinct()
     first = lambda x: F.conv(F.hex(F.substring(x, 1, 7)), 16, 10).cast("long")
-    suspects = spark.sparkContext.broadcast(bits_of(wanted.select(first("line").alias("short")), "short"))
+    suspects = spark.sparkContext.broadcast(bits_of(wanted.select(first("line").alias("short")).distinct(), "short"))
 
     def texts(stream):
         for batch in stream:
@@ -296,7 +295,7 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    pairs = written(laid.mapInArrow(verify, "a binary, b binary").distinct(), "pairs")
+    pairs = written(laid.mapInArrow(released(verify), "a binary, b binary").distinct(), "pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n_links"))
     found = components(pairs, "a", "b", "line-links")
     roots = links.join(found, links["line"] == found["node"], "left").select(F.col("line").alias("node"), F.coalesce("root", "line").alias("root"), "n_links")

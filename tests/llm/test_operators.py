@@ -288,6 +288,26 @@ def test_line_classes(spark):
     assert (90, None) in cleaned and (91, "") in cleaned and len(cleaned) == len(rows) - 1
 
 
+def test_keys_are_met_across_batches():
+    draw = random.Random(6)
+    for trial in range(300):
+        rows = sorted(((k, not (o := draw.random() < 0.3), draw.randrange(1 + k % 3)) for k in range(6) for _ in range(draw.randint(0, 9))))
+        rows = [(k, not absent, line) for k, absent, line in rows]
+        want = set()
+        for k in range(6):
+            mine = [r for r in rows if r[0] == k]
+            if any(r[1] for r in mine) and len({r[2] for r in mine}) > 1:
+                want |= {(k, line) for _, _, line in mine}
+        batches, at = [], 0
+        while at < len(rows):
+            n = draw.randint(1, 5)
+            part = rows[at : at + n]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([2 * r[0] + (not r[1]) for r in part], pa.int64()), pa.array([b"%d" % r[2] for r in part]), pa.array([r[2] for r in part], pa.int64())], names=["key", "line", "short"]))
+            at += n
+        got = [(r["key"], int(r["line"])) for b in lines._meeting(batches) for r in b.to_pylist()]
+        assert set(got) == want, (trial, rows)
+
+
 def test_short_lines_are_linked(spark):
     draw = random.Random(12)
     every = ["Ly reonhe onble.", "Ly. Reonhe onble.", "x" * 24, "x" * 22, "a", "b", "ab", "zq", "xyz", "xyzw1", "é", "日本"]
@@ -543,6 +563,32 @@ def test_extraction(spark):
         assert isinstance(html.main_text(text), str)
 
 
+def test_the_tree_alone_finds_the_article(spark):
+    """No tag or name tells: each page is brute-forced as the blocks that its host does not repeat."""
+    draw, rows, want = random.Random(4), [], {}
+    for host in range(3):
+        menu, note, foot = (prose(draw, n) for n in (6, 9, 12))
+        for i in range(9):
+            story = [prose(draw, draw.randint(8, 30)) for _ in range(draw.randint(1, 4))]
+            side = f'<div class="b{host}"><ul><li>{menu}<li>{menu} more</ul></div>' if host < 2 else f"<p class='m'>{menu}</p>"
+            body = "".join(f"<p>{x}</p>" if j else f"<h2 id='related-{i}'>{x}</h2>" for j, x in enumerate(story))
+            page = f"<body>{side}<p class=q><em>{note}</em></p><div class=z{host}>{body}</div><table><tr><td class=f>{foot}</table></body>"
+            rows.append((10 * host + i, f"https://h{host}.example/{i}", page))
+            want[10 * host + i] = " ".join(story)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html.extract(df.union(df.limit(2))).collect()} == want
+    without = {i: html.main_text(h) for i, _, h in rows}
+    assert all(len(without[i]) > len(t) for i, t in want.items())
+
+
+def test_nothing_else_is_dropped():
+    page = "<article><header><p>sub</p></header><p class='share'>kept?</p><p hidden>h</p><h2 id='search-algorithms'>s</h2><video>v</video><section id='discussion'>d</section><div class='comments'>gone</div><footer>f</footer>z</article><header>mast</header>"
+    assert html.main_text(page) == "sub kept? h s v d z"
+    assert html.main_text("<header>mast</header><div class='post'>a</div><div>b</div><div class='sidebar'>c</div>") == "a b"
+    copies = {">article>p"}  # a host of copies of one article
+    assert html.main_text("<article><p>one text</p></article>", copies) == "one text"
+
+
 def test_rules_beyond_the_bound_are_joined(spark, monkeypatch):
     rows = [(i, f"http://h{i % 2}.example/", f"<div class='foot'>same words here</div><div class='b'><p>{prose(random.Random(i), 20)}</p></div>") for i in range(12)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
