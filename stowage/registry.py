@@ -11,6 +11,7 @@ import base64
 import datetime
 import json
 import time
+import uuid
 import warnings
 from dataclasses import dataclass
 
@@ -72,20 +73,29 @@ class Folder:
             stream.close()
 
     def write(self, name: str, data: bytes, replace: bool = False) -> bool:
-        """False if the file exists and isn't to be replaced."""
+        """Publishes a whole file: it is written under a hidden name and then renamed, so that nobody sees
+        half of it. False if the file exists and isn't to be replaced."""
         self.fs.mkdirs(self.base)
         if not replace and self.fs.exists(self._path(name)):
             return False
+        hidden = self._path(f".{name}.{uuid.uuid4().hex}")
+        stream = self.fs.create(hidden, False)
         try:
-            stream = self.fs.create(self._path(name), replace)
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if replace else rename.NONE
+        target = self.fs.makeQualified(self._path(name))
+        files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(self.fs.makeQualified(hidden), target, how)
         except Exception as error:
+            self.fs.delete(hidden, False)
             if "AlreadyExists" in str(error):
                 return False
             raise
-        try:
-            stream.write(bytearray(data))
-        finally:
-            stream.close()
         return True
 
 

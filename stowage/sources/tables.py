@@ -59,9 +59,10 @@ class PackedTable:
     def policies(self) -> dict[str, tuple[str, Policy | None]]:
         return {c: (p["kind"], None if p["level"] is None else Policy(p["level"], p["slot"], p["pending"])) for c, p in self._held()["columns"].items()}
 
-    def write(self, df: DataFrame, policies: dict[str, tuple[str, Policy | str | None]] | None = None, uncompressed: bool = False) -> None:
+    def write(self, df: DataFrame, policies: dict[str, tuple[str, Policy | str | None]] | None = None, uncompressed: bool = False, part: str | None = None) -> None:
         """Writes or appends. The first write declares the policies; later ones follow them.
-        ``uncompressed``: leaves Parquet's own compression off, as payloads are compressed already."""
+        ``uncompressed``: leaves Parquet's own compression off, as payloads are compressed already.
+        ``part``: a name for these rows; a second write of a part replaces it whole."""
         held = self._held()
         if policies is not None:
             if held["columns"]:
@@ -75,10 +76,10 @@ class PackedTable:
         if self.registry is not None:
             self.registry.new_write()
         made = apply_policies(df, self.policies(), self.registry)
-        made.write.mode("append").option("compression", "none" if uncompressed else "zstd").parquet(held["data"])
+        made.write.mode("append" if part is None else "overwrite").option("compression", "none" if uncompressed else "zstd").parquet(held["data"] + (f"/part-{part}" if part else ""))
 
     def read(self) -> DataFrame:
-        df = self.spark.read.parquet(self._held()["data"])
+        df = self.spark.read.option("recursiveFileLookup", "true").parquet(self._held()["data"])
         return df.select(*[named(F.col(c), c, *self.policies()[c]) if c in self.policies() else F.col(f"`{c}`") for c in df.columns])
 
     def logical(self) -> DataFrame:

@@ -8,8 +8,10 @@ from stowage.codec import MAGIC
 from stowage.functions import documents as D
 from stowage.functions import packing as P
 from stowage.operators import relational as R
-from stowage.registry import Registry, RegistryError, train_dictionary
+from stowage.policy import Policy
+from stowage.registry import Folder, Registry, RegistryError, train_dictionary
 from stowage.sources import tables as T
+from stowage.sync import main as sync_main
 from stowage.sync import sync
 
 
@@ -130,13 +132,51 @@ def test_training_bounds(spark):
 
 
 def test_sync_codes(spark, tmp_path, registry):
+    """0 in sync, 1 a collision that writes nothing, 2 differences remain, 3 a failure."""
     target, said = Registry(spark, str(tmp_path / "t")), []
     assert sync(registry, target, check=True, say=said.append) == 2 and said[0].startswith("missing slot 1")
-    assert sync(registry, target, dry_run=True, say=said.append) == 0 and not target.entries()
-    assert sync(registry, target, say=said.append) == 0 and sync(registry, target, check=True, say=said.append) == 0
+    assert sync(registry, target, dry_run=True, say=said.append) == 0 and said[-1] == "in sync (dry run)" and not target.entries()
+    assert sync(registry, target, say=said.append) == 0 and said[-1] == "in sync" and sync(registry, target, check=True, say=said.append) == 0
     other = Registry(spark, str(tmp_path / "u"))
     other.add("local", registry.entries()[1].data)
-    assert sync(registry, other, say=said.append) == 3 and len(other.entries()) == 1
+    assert sync(registry, other, say=said.append) == 1 and "nothing is written" in said[-1] and len(other.entries()) == 1
+    assert sync_main([str(tmp_path / "t"), str(tmp_path / "u"), "--table", "x", str(tmp_path / "no"), "nofs://there"]) == 3
+
+
+def test_sync_compares_policies(spark, tmp_path, registry):
+    target = Registry(spark, str(tmp_path / "t"))
+    rows = spark.createDataFrame([(i, f"sample subject {i} " * 9) for i in range(9)], "i int, body string")
+    here, there = T.PackedTable(spark, str(tmp_path / "here"), target), T.PackedTable(spark, str(tmp_path / "there"), registry)
+    there.write(rows, {"body": ("text", Policy(6, 1))})
+    here.write(rows.limit(0), {"body": ("text", Policy(6, 1))})
+    said: list[str] = []
+    assert sync(registry, target, check=True, say=said.append, tables={"m": (there, here)}) == 2 and said[-1] == "m.body: slot not registered here"
+    assert sync(registry, target, dry_run=True, say=said.append, tables={"m": (there, here)}) == 0 and not target.entries()
+    assert sync(registry, target, say=said.append, tables={"m": (there, here)}) == 0
+    here.set_policy("body", 9, 1)
+    assert sync(registry, target, say=said.append, tables={"m": (there, here)}) == 2 and said[-1] == "m.body: different level"
+
+
+def test_files_are_published_whole(spark, tmp_path, registry):
+    folder = Folder(spark, str(tmp_path / "f"))
+    assert folder.write("slot-1", b"one") and not folder.write("slot-1", b"two") and folder.read("slot-1") == b"one"
+    assert folder.write("slot-1", b"three", replace=True) and folder.read("slot-1") == b"three"
+    half = Registry(spark, str(tmp_path / "r"))
+    half.import_(1, "first", registry.entries()[0].data)
+    (tmp_path / "r" / ".slot-00000002.json.abc").write_bytes(b'{"slot": 2, "na')  # a writer that died
+    half.reload()
+    assert [e.slot for e in half.entries()] == [1] and half.import_(2, "second", registry.entries()[1].data) == 2
+    assert [n for n in folder.names() if not n.startswith(".")] == ["slot-1"]
+
+
+def test_a_batch_that_runs_again_is_stored_once(spark, tmp_path, registry):
+    table = T.PackedTable(spark, str(tmp_path / "table"), registry)
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "i int, body string")
+    table.write(rows.limit(2), {"body": ("text", "(6)")})
+    for _ in range(2):
+        table.write(rows, part="stream-0")
+    table.write(rows.limit(1), part="stream-1")
+    assert table.read().count() == 12 and table.logical().where("body = 'text 8'").count() == 1
 
 
 def test_table_policies(spark, tmp_path, registry):

@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from stowage.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -40,7 +42,7 @@ def test_all_sizes_are_validated_and_matched(spark, tmp_path):
 
     import zstandard
 
-    from stowage.plans.queries import trained
+    from stowage.plans.queries import _matches, _sweep, docs_of, trained
 
     draw = random.Random(7)
     words = "river cloud paper light north south early late small large open close".split()
@@ -55,8 +57,8 @@ def test_all_sizes_are_validated_and_matched(spark, tmp_path):
     sizes = [None if t is None else len(t.encode()) for t in texts]
     for writer in (plain, by_dictionary):
         assert {raw(writer, t) for t, n in zip(texts, sizes, strict=True) if n and 64 <= n < 400} == {True, False}
-    got = {r["doc_id"]: r for r in QUERIES["validate_sweep_all"](spark, str(tmp_path)).collect()}
-    found = {r["doc_id"]: r for r in QUERIES["matches_policy_headers_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r for r in _sweep(docs_of(spark, str(tmp_path), "(6)")).collect()}
+    found = {r["doc_id"]: r for r in _matches(docs_of(spark, str(tmp_path), "(6,documents)", registry), registry).collect()}
     assert set(got) == set(found) == set(range(len(texts)))
     for i, t in enumerate(texts):
         if t is None:
@@ -68,6 +70,18 @@ def test_all_sizes_are_validated_and_matched(spark, tmp_path):
         assert found[i].asDict() == {"doc_id": i, "at_six": True, "at_nine": False, "no_dictionary": raw(by_dictionary, t)}
 
 
+def test_corrupt_lengths_and_misplaced_dictionaries_show(spark, tmp_path):
+    """The columns that SQL states as constants are not constant where something is wrong."""
+    from stowage.plans import queries
+
+    texts = ["a", "b" * 70, "words of a longer text " * 30] * 20
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert all(r["stored_rightly"] and r["at_six"] for r in queries.matches_policy_headers(spark, str(tmp_path)).collect())
+    assert all(r["length_found"] for r in queries.validate_sweep(spark, str(tmp_path)).collect())
+    bare = queries._sweep(queries.docs_of(spark, str(tmp_path), "(6)").withColumn("bytes", F.lit(1)), "bytes").where("length is null").count()
+    assert bare == 0
+
+
 def test_entry_runs_without_the_corpus_part(spark, monkeypatch):
     import builtins
     import importlib
