@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage import sql as packed_sql
-from stowage.codec import RAW
+from stowage.codec import RAW, dictionary_id
 from stowage.functions import documents as D
 from stowage.functions import packing as P
 from stowage.operators import analyze as A
@@ -429,6 +429,179 @@ def registry_sync(spark, sf_dir):
     return spark.createDataFrame(rows, "lang string, checked string, synced string, again string, code_checked int, code_synced int, code_again int")
 
 
+@query("select event_id, props, 9 as level, 3 as again, true as on_policy, false as off_policy from events")
+def json_under_policies(spark, sf_dir):
+    """Packed JSON coerced to a policy and recompressed, and what its headers say of policies."""
+    rows = read_table(spark, sf_dir, "events").select("event_id", P.pack_json("props", "(6)").alias("p"))
+    rows = rows.withColumn("moved", P.coerce("p", "(9)")).withColumn("new", P.recompress("moved", 3))
+    return rows.select(
+        "event_id", P.unpack("new", "json").alias("props"), F.col("moved.level").cast("int").alias("level"), F.col("new.level").cast("int").alias("again"),
+        P.matches_policy("moved", 9).alias("on_policy"), P.matches_policy("moved", 6).alias("off_policy"),
+    )
+
+
+@query("select doc_id, md5(text) as digest, 2 as level, 3 as again, case when text is not null then true end as on_policy, case when text is not null then false end as off_policy from documents where text is not null")
+def bytes_under_policies(spark, sf_dir):
+    """Packed bytes coerced to a policy and recompressed with a dictionary, and what their headers say."""
+    registry = trained(spark, sf_dir)
+    rows = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", P.pack_bytes(F.col("text").cast("binary"), "(6,documents)", registry).alias("b"))
+    rows = rows.withColumn("moved", P.coerce("b", "(2)", registry)).withColumn("new", P.recompress("moved", 3, 1, registry))
+    return rows.select(
+        "doc_id", F.md5(P.unpack("new", "bytes", registry)).alias("digest"), F.col("moved.level").cast("int").alias("level"), F.col("new.level").cast("int").alias("again"),
+        P.matches_policy("new", 3, 1, registry).alias("on_policy"), P.matches_policy("moved", 6, 1, registry).alias("off_policy"),
+    )
+
+
+@query("""select 'json' as kind, 1 as format, 4 as level, count(*) as n, sum(strlen(props))::bigint as raw_bytes from events
+          union all select 'bytes', 0, 5, count(*), sum(strlen(text))::bigint from documents where text is not null""")
+def inspect_json_and_bytes(spark, sf_dir):
+    registry = trained(spark, sf_dir)
+    events = read_table(spark, sf_dir, "events").select(P.pack_json("props", "(4)").alias("v"))
+    docs = read_table(spark, sf_dir, "documents").where("text is not null").select(P.pack_bytes(F.col("text").cast("binary"), "(5,documents)", registry).alias("v"))
+    parts = [A.inspect_packed(df, "v", registry).select("inspected.*") for df in (events, docs)]
+    return parts[0].unionByName(parts[1]).groupBy("kind", "format", "level").agg(F.count("*").alias("n"), F.sum(F.col("raw_length").cast("long")).alias("raw_bytes"))
+
+
+@query("select doc_id, left(text, 7) as head, md5(text) as moved, md5(text) as framed, 'text' as kind, 3 as level, true as same, false as other, true as hashed, true as on_policy, true as any_key, false as all_keys from documents where text is not null and strlen(left(text, 7)) = 7")
+def more_sql_functions(spark, sf_dir):
+    registry = trained(spark, sf_dir)
+    packed_sql.register(spark, registry)
+    read_table(spark, sf_dir, "documents").where("text is not null and octet_length(left(text, 7)) = 7").select("doc_id", "text").createOrReplaceTempView("plain_documents")
+    return spark.sql("""
+        select doc_id, packed_prefix(body, 7) as head, md5(unpack_text(moved)) as moved, md5(unpack_text(pack_text_slot(cast(read_frame(frame_packed(body, true)) as string), 5, 0))) as framed,
+               i.kind, i.level, packed_eq_text(body, moved) as same, packed_ne_text(body, moved) as other, packed_hash_text(moved) = xxhash64(text) as hashed,
+               packed_matches_policy(moved, 3, 0) as on_policy, json_has_any(j, array('x', 'a')) as any_key, json_has_all(j, array('x', 'a')) as all_keys
+        from (select *, inspect_packed(moved) as i from (select doc_id, text, body, coerce_packed(body, 3, 0) as moved, pack_json('{"a": 1}', 1) as j
+              from (select doc_id, text, pack_text_slot(text, 6, 1) as body from plain_documents)))""")
+
+
+@query("""select event_id, null::varchar as clean, 'unsupported JSON payload format 0' as format, 'invalid value header' as kind, 'invalid value header' as as_text,
+                 null::varchar as clean_bytes, 'invalid value header' as bytes_format, 'invalid raw value length' as bytes_length from events""")
+def validate_json_and_bytes(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events")
+    rows = events.select("event_id", P.pack_json("props").alias("p"), P.pack_bytes(F.substring(F.md5("props"), 1, 9).cast("binary")).alias("b"))
+    broken = lambda c, **change: F.struct(*[change.get(n, F.col(c)[n]).alias(n) for n in P.LEAVES])
+    rows = rows.select(
+        "event_id", "p", "b", broken("p", format=F.lit(0).cast("tinyint")).alias("q"), broken("p", kind=F.lit(1).cast("tinyint")).alias("k"),
+        broken("b", format=F.lit(1).cast("tinyint")).alias("f"), broken("b", rawlen=F.col("b.rawlen") + 1).alias("n"),
+    )
+    return rows.select(
+        "event_id", P.validate("p", "json").alias("clean"), P.validate("q", "json").alias("format"), P.validate("k", "json").alias("kind"), P.validate("p", "text").alias("as_text"),
+        P.validate("b", "bytes").alias("clean_bytes"), P.validate("f", "bytes").alias("bytes_format"), P.validate("n", "bytes").alias("bytes_length"),
+    )
+
+
+@query("select doc_id, md5(text) as stored, md5(text) as portable, md5(text) as base, true as dictionary_if_frame from documents where text is not null")
+def frames_of_bytes(spark, sf_dir):
+    registry = trained(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("t"), P.pack_bytes(F.col("text").cast("binary"), "(6,documents)", registry).alias("b"))
+    return docs.select(
+        "doc_id", F.md5(P.read_frame(P.frame("b", False, registry), registry)).alias("stored"), F.md5(P.read_frame(P.frame("b", True, registry))).alias("portable"),
+        F.md5(P.read_frame(P.frame_of("t", 3))).alias("base"), ((F.col("b.codec") == RAW) == P.dictionary_id_of("b").isNull()).alias("dictionary_if_frame"),
+    )
+
+
+@query("""select d.doc_id, d.text = f.text as same, d.text <> f.text as other, true as hashed, true as seeded from documents d, (select text from documents where text is not null order by doc_id limit 1) f
+          where d.text is not null""")
+def equality_of_bytes(spark, sf_dir):
+    """Each document's bytes against the first one's, under other policies; hashes as of plain columns."""
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
+    first = docs.orderBy("doc_id").limit(1).select(P.pack_bytes(F.col("text").cast("binary"), "(9)").alias("f"))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("t"), P.pack_bytes(F.col("text").cast("binary"), "(1)").alias("b")).join(F.broadcast(first))
+    return rows.select(
+        "doc_id", P.packed_eq("b", "f", "bytes").alias("same"), P.packed_ne("b", "f", "bytes").alias("other"),
+        (P.packed_hash("b", "bytes") == F.xxhash64("t")).alias("hashed"), (P.packed_hash("b", "bytes", seed=3) == F.xxhash64(F.lit(3).cast("long"), "t")).alias("seeded"),
+    )
+
+
+@query("select event_id, count(*) over (partition by event_type, user_id % 5) > 0 as hashes_meet, true as seeded_meet from events")
+def hash_of_json(spark, sf_dir):
+    """Documents that are equal but for the order of keys and the scale of numbers hash alike, seeded too."""
+    user = F.col("user_id") % 5
+    x = F.format_string('{"t": "%s", "u": %d}', "event_type", user)
+    y = F.format_string('{"u": %d.0, "t": "%s"}', user, "event_type")
+    rows = read_table(spark, sf_dir, "events").select("event_id", P.pack_json(x, "(1)").alias("x"), P.pack_json(y, "(9)").alias("y"))
+    met = lambda **k: P.packed_hash("x", "json", **k) == P.packed_hash("y", "json", **k)
+    return rows.select("event_id", met().alias("hashes_meet"), met(seed=7).alias("seeded_meet"))
+
+
+@query("""select l_orderkey, l_linenumber, '{"k": ' || l_partkey || ', "note": "order line"}' as nest, '"' || l_linestatus || '"' as tag, null::varchar as none from lineitem""")
+def json_by_path(spark, sf_dir):
+    items = lines_of(spark, sf_dir)
+    return items.select("l_orderkey", "l_linenumber", D.json_path("doc", ["nest"]).alias("nest"), D.json_path("doc", ["tags", "1"]).alias("tag"), D.json_path("doc", ["nest", "no"]).alias("none"))
+
+
+@query("select c.conv_id::varchar as conv_id, c.turn::varchar as turn, b.item_id::varchar as item_id from conversations c full outer join benchmark b on c.text = b.text")
+def outer_join(spark, sf_dir):
+    left = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", P.pack_text("text", "(1)").alias("body"))
+    right = read_table(spark, sf_dir, "benchmark").select("item_id", P.pack_text("text", "(9)").alias("other"))
+    return R.join_packed(left, right, "body", "other", how="full_outer").select(*[F.col(c).cast("string").alias(c) for c in ("conv_id", "turn", "item_id")])
+
+
+@query("select text from (select distinct text from documents where text is not null) order by text offset 5 limit 20")
+def sort_and_offset(spark, sf_dir):
+    rows = R.distinct_packed(docs_of(spark, sf_dir).where("body is not null").select("body"), {"body": "text"})
+    return R.sort_unpacked(rows, "body").offset(5).limit(20).select(P.unpack("body").alias("text"))
+
+
+@query("select r_name as region, n_regionkey::varchar as k, count(*) as n from nation join region on n_regionkey = r_regionkey group by cube (r_name, n_regionkey)")
+def cube_by_value(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "nation").join(read_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    packed = rows.select(P.pack_text("r_name").alias("region"), P.pack_text(F.col("n_regionkey").cast("string")).alias("k"))
+    return R.grouping_sets_packed(packed, {"region": "text", "k": "text"}, F.count("*").alias("n"), cube=True).select("region", "k", "n")
+
+
+@query("""select text, sum(turn)::bigint as turns, bool_and(turn < 3) as early, bool_or(turn = 0) as opens, string_agg(conv_id::varchar, ',' order by conv_id::varchar) as convs
+          from conversations group by text""")
+def other_aggregates(spark, sf_dir):
+    """Sums, boolean and list aggregates of plain columns by packed value."""
+    rows = read_table(spark, sf_dir, "conversations").select(P.pack_text("text").alias("body"), "turn", F.col("conv_id").cast("string").alias("c"))
+    keyed = R.group_packed(
+        rows, {"body": "text"}, F.sum("turn").alias("turns"), F.bool_and(F.col("turn") < 3).alias("early"), F.bool_or(F.col("turn") == 0).alias("opens"), F.array_join(F.array_sort(F.collect_list("c")), ",").alias("convs")
+    )
+    return keyed.select(P.unpack("body").alias("text"), "turns", "early", "opens", "convs")
+
+
+@query("select doc_id, text from documents")
+def dump_and_restore(spark, sf_dir):
+    """A packed table dumped as plain Parquet and restored under another policy."""
+    registry, dump = trained(spark, sf_dir), fresh(spark, "dump")
+    table, restored = T.PackedTable(spark, fresh(spark, "table"), registry), T.PackedTable(spark, fresh(spark, "restored"), registry)
+    table.write(read_table(spark, sf_dir, "documents").select("doc_id", "text"), {"text": ("text", "(6,documents)")}, uncompressed=True)
+    T.export_logical(table.read(), dump, registry)
+    T.import_logical(restored, dump, {"text": ("text", "(3)")})
+    return restored.logical()
+
+
+@query("select l_orderkey, l_linenumber, l_partkey::varchar as part from lineitem where l_returnflag = 'R'")
+def extracted_columns(spark, sf_dir):
+    """Plain columns beside the document take the place of an index on an expression."""
+    path = fresh(spark, "extracted")
+    D.with_extracted(lines_of(spark, sf_dir), "doc", {"flag": ["l_returnflag"], "part": ["nest", "k"]}).select("l_orderkey", "l_linenumber", "flag", "part").write.parquet(path)
+    return spark.read.parquet(path).where("flag = 'R'").drop("flag")
+
+
+@query("select conv_id, turn from conversations where text = (select min(text) from conversations)")
+def hash_probe(spark, sf_dir):
+    rows, path = read_table(spark, sf_dir, "conversations"), fresh(spark, "probe")
+    T.probe_write(rows.select("conv_id", "turn", "text"), "text", path)
+    return T.probe(spark, path, "text", rows.agg(F.min("text")).first()[0]).select("conv_id", "turn")
+
+
+@query("select lang, lang as by_slot, true as whole, true as within_size from documents where text is not null group by lang having count(*) >= 8")
+def registry_of_languages(spark, sf_dir):
+    """Dictionaries trained and added for each language, found again by name, slot, id and bytes after a reload."""
+    docs, registry = read_table(spark, sf_dir, "documents").where("text is not null"), Registry(spark, fresh(spark, "registry"))
+    for r in docs.groupBy("lang").count().where("count >= 8").orderBy("lang").collect():
+        registry.train_and_add(r["lang"], docs.where(F.col("lang") == r["lang"]).orderBy("doc_id").select("text"), 2048)
+    again, rows = Registry(spark, registry.folder.path), []
+    again.reload()
+    for e in registry.entries():
+        held = again.by_slot(again.slot(e.name))
+        rows.append((e.name, held.name, again.bytes(e.dict_id) == e.data and dictionary_id(e.data) == e.dict_id, len(held.data) <= 2048))
+    return spark.createDataFrame(rows, "lang string, by_slot string, whole boolean, within_size boolean")
+
+
 @query()
 def dictionary_evaluation(spark, sf_dir):
     return A.dictionary_report(read_table(spark, sf_dir, "documents"), "text", dict_bytes=8192)

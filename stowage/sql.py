@@ -79,6 +79,101 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
 
         put(name, read.asNondeterministic())
 
+    slots = {0: 0} | ({e.slot: e.dict_id for e in registry.entries()} if registry is not None else {})
+
+    def arrow(returns: str, kind: pa.DataType):
+        """Registers a function of a row's values; any null gives null. Packed arguments come as Stored."""
+
+        def add(work) -> None:
+            @F.arrow_udf(returns)
+            def run(*arrays: pa.Array) -> pa.Array:
+                codec = held.codec()
+                given = [rows(a) if pa.types.is_struct(a.type) else a.to_pylist() for a in arrays]
+                out = [None if any(x is None for x in row) else work(codec, *row) for row in zip(*given, strict=True)]
+                return packed_array(out) if returns == KERNEL_TYPE else pa.array(out, kind)
+
+            put(work.__name__, run.asNondeterministic())
+
+        return add
+
+    @arrow("string", pa.string())
+    def packed_prefix(codec, c, n):
+        return codec.prefix(c, n)
+
+    def rewritten(codec, c, level, slot):
+        return codec.encode(c.kind, codec.decode(c, None), level, slots[slot])
+
+    @arrow(KERNEL_TYPE, None)
+    def recompress_packed(codec, c, level, slot):
+        return rewritten(codec, c, level, slot)
+
+    @arrow(KERNEL_TYPE, None)
+    def coerce_packed(codec, c, level, slot):
+        number = slots[slot]
+        stays = c.level == level and (c.dict_id == number if c.codec else not number or c.rawlen < FLOOR)
+        return c if stays else rewritten(codec, c, level, slot)
+
+    @arrow("binary", pa.binary())
+    def frame_packed(codec, c, portable):
+        if c.kind == KINDS["json"]:
+            raise ValueError("packed JSON has no frame output")
+        return c.payload if c.codec and not (portable and c.dict_id) else codec.frame(codec.decode(c, None), 1)
+
+    @arrow("binary", pa.binary())
+    def frame_of(codec, value, level):
+        return codec.frame(value, level)
+
+    @arrow("binary", pa.binary())
+    def read_frame(codec, frame):
+        number = zstandard.get_frame_parameters(frame).dict_id
+        return zstandard.ZstdDecompressor(dict_data=codec.dictionary(number) if number else None).decompress(frame)
+
+    for kind in KINDS:
+
+        def key(codec, c, kind=kind) -> bytes:
+            value = codec.decode(c, KINDS[kind])
+            return jsonvalue.equality_key(jsonvalue.parse(value.decode())).encode() if kind == "json" else value
+
+        def pack_slot(codec, value, level, slot, kind=kind):
+            return codec.encode(KINDS[kind], logical_bytes(KINDS[kind], value), level, slots[slot])
+
+        def try_pack(codec, value, level, kind=kind):
+            try:
+                return codec.encode(KINDS[kind], logical_bytes(KINDS[kind], value), level)
+            except ValueError:
+                return None
+
+        def eq(codec, a, b, key=key):
+            return key(codec, a) == key(codec, b)
+
+        def ne(codec, a, b, key=key):
+            return key(codec, a) != key(codec, b)
+
+        def hashed(codec, c, key=key):
+            import xxhash
+
+            return int.from_bytes(xxhash.xxh64_digest(key(codec, c), 42), "big", signed=True)  # as Spark's xxhash64
+
+        for name, work, returns, made in (
+            (f"pack_{kind}_slot", pack_slot, KERNEL_TYPE, None), (f"try_pack_{kind}", try_pack, KERNEL_TYPE, None), (f"packed_eq_{kind}", eq, "boolean", pa.bool_()),
+            (f"packed_ne_{kind}", ne, "boolean", pa.bool_()), (f"packed_hash_{kind}", hashed, "bigint", pa.int64()),
+        ):
+            work.__name__ = name
+            arrow(returns, made)(work)
+
+    @arrow("boolean", pa.bool_())
+    def packed_matches_policy(codec, c, level, slot):
+        return c.level == level and (not c.codec or c.dict_id == slots[slot])
+
+    numbers = {n: k for k, n in KINDS.items()}
+    shown = [("kind", pa.string()), ("codec", pa.string()), ("level", pa.int32()), ("format", pa.int32()), ("raw_length", pa.int32()), ("stored_bytes", pa.int32()), ("dict_id", pa.int64())]
+
+    @arrow("struct<kind:string,codec:string,level:int,format:int,raw_length:int,stored_bytes:int,dict_id:bigint>", pa.struct(shown))
+    def inspect_packed(codec, c):
+        return {"kind": numbers.get(c.kind), "codec": {0: "raw", 1: "zstd"}.get(c.codec), "level": c.level, "format": c.format, "raw_length": c.rawlen, "stored_bytes": c.stored_bytes, "dict_id": c.dict_id or None}
+
+    document("json_has_any", "boolean", lambda v, keys: any(jsonvalue.has(v, k) for k in keys))
+    document("json_has_all", "boolean", lambda v, keys: all(jsonvalue.has(v, k) for k in keys))
     document("json_field", "string", lambda v, k: jsonvalue.as_json(jsonvalue.field(v, k)))
     document("json_field_text", "string", lambda v, k: jsonvalue.as_text(jsonvalue.field(v, k)))
     document("json_element", "string", lambda v, i: jsonvalue.as_json(jsonvalue.element(v, i)))
