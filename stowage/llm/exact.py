@@ -179,11 +179,11 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whatever name, are ignored. ``fingerprint_bits`` only decides how many texts are verified.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    return _classes(numbered(texts, "no"), fingerprint_bits, range_rows).drop("no")
+    return _classes(texts.withColumn("no", F.monotonically_increasing_id()), fingerprint_bits, range_rows).drop("no")
 
 
 def _classes(source: DataFrame, fingerprint_bits: int = 64, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """exact_classes of (id, body, no), with the rows' numbers ``no``."""
+    """exact_classes of (id, body, no), with the rows' numbers ``no``, which are read once and stored."""
     spark = prepared(source.sparkSession)
     mask = np.uint64(2**fingerprint_bits - 1)
 
@@ -209,7 +209,7 @@ def _classes(source: DataFrame, fingerprint_bits: int = 64, range_rows: int = RA
                 yield pa.RecordBatch.from_arrays([column(batch, "id").cast(pa.int64()).take(pa.array(at)), pa.array([hashes[i] for i in at], pa.binary()), pa.array([texts[i] for i in at], pa.binary())], names=["id", "sha", "body"])
 
     # Equal bytes meet here; the map side keeps one row per text and partition, however many copies.
-    texts = source.mapInArrow(released(route), "id long, sha binary, body binary").groupBy("sha", "body").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"))
+    texts = source.select("id", "body").mapInArrow(released(route), "id long, sha binary, body binary").groupBy("sha", "body").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"))
     verified = texts.groupBy("sha").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.max("keep_id").alias("keep_id")).where("n > 1")
     same = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest"))).otherwise(F.lit(True))
     classes = written(verified.where(same).select(F.col("sha").alias("class"), "n", "keep_id"), "classes")
