@@ -34,24 +34,27 @@ def _parsed(codec, arrays: tuple[pa.Array, ...]) -> list[Any]:
     return values
 
 
-def _argument(x: Any) -> Column:
-    return x if isinstance(x, Column) else F.lit(x) if not isinstance(x, list) else F.array(*[F.lit(v) for v in x]).cast("array<string>")
-
-
-def _reader(returns: str, answer: Callable[..., Any], c, source: Source, *arguments: Any) -> Column:
+def _reader(returns: str, answer: Callable[[Any, Any], Any], c, source: Source, argument: Any, prepare: Callable[[Any], Any] = lambda x: x) -> Column:
+    """``argument``: a column, or a constant, which ``prepare`` reads once a batch instead of once a row."""
     held = _dictionaries(source)
-    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+    kind = {"string": pa.string(), "boolean": pa.bool_()}[returns]
+    by_row = isinstance(argument, Column)
+    constant = None if by_row else [None if x is None else str(x) for x in argument] if isinstance(argument, list) else argument
 
     @F.arrow_udf(returns)
     def read(*arrays: pa.Array) -> pa.Array:
-        n, out = len(LEAVES), []
-        rest = [a.to_pylist() for a in arrays[n:]]
-        for i, v in enumerate(_parsed(held.codec(), arrays[:n])):
-            given = [r[i] for r in rest]
-            out.append(None if v is jsonvalue.MISSING or None in given else answer(v, *given))
-        return pa.array(out, kinds[returns])
+        values = _parsed(held.codec(), arrays[: len(LEAVES)])
+        if by_row:
+            given = [None if x is None else prepare(x) for x in arrays[-1].to_pylist()]
+            out = [None if v is jsonvalue.MISSING or x is None else answer(v, x) for v, x in zip(values, given, strict=True)]
+        elif constant is None:
+            out = [None] * len(values)
+        else:
+            ready = prepare(constant)
+            out = [None if v is jsonvalue.MISSING else answer(v, ready) for v in values]
+        return pa.array(out, kind)
 
-    return read.asNondeterministic()(*leaves(c), *map(_argument, arguments))
+    return read.asNondeterministic()(*leaves(c), *([argument] if by_row else []))
 
 
 def json_field(c, key, registry: Source = None) -> Column:
@@ -95,14 +98,18 @@ def json_has_all(c, keys, registry: Source = None) -> Column:
     return _reader("boolean", lambda v, ks: all(jsonvalue.has(v, k) for k in ks if k is not None), c, registry, keys)
 
 
+def _document(text: str) -> tuple[Any]:
+    return (jsonvalue.parse(text),)  # in a tuple, as a JSON null is a document too
+
+
 def json_contains(c, document, registry: Source = None) -> Column:
     """``@>``: the packed document holds the given one (JSON text)."""
-    return _reader("boolean", lambda v, d: jsonvalue.contains(v, jsonvalue.parse(d)), c, registry, document)
+    return _reader("boolean", lambda v, d: jsonvalue.contains(v, d[0]), c, registry, document, _document)
 
 
 def json_contained(c, document, registry: Source = None) -> Column:
     """``<@``: the given document (JSON text) holds the packed one."""
-    return _reader("boolean", lambda v, d: jsonvalue.contains(jsonvalue.parse(d), v), c, registry, document)
+    return _reader("boolean", lambda v, d: jsonvalue.contains(d[0], v), c, registry, document, _document)
 
 
 def jsonpath_exists(c, path, registry: Source = None) -> Column:

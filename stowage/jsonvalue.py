@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from decimal import Decimal, InvalidOperation
@@ -12,13 +13,14 @@ class JsonError(ValueError):
     pass
 
 
-_ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-_TO_ESCAPE = re.compile(r'["\\\x00-\x1f]')
+_ARRAY_STEP = re.compile(r"\s*[+-]?\d+")
 _BROKEN = re.compile("[\x00\ud800-\udfff]")
 MISSING = object()
 
 
 def _number(text: str) -> Decimal:
+    if len(text) < 16_000 and "e" not in text and "E" not in text:
+        return Decimal(text)  # too short to be out of range
     try:
         value = Decimal(text)
     except InvalidOperation:
@@ -32,14 +34,13 @@ def _constant(text: str):
     raise JsonError(f"invalid input syntax for type json: token {text!r} is invalid")
 
 
-def _checked(pairs: list[tuple[str, Any]]) -> dict:
-    return dict(pairs)
+_decoder = json.JSONDecoder(parse_float=_number, parse_int=_number, parse_constant=_constant)  # the last of equal keys wins
 
 
 def parse(text: str) -> Any:
     """Python values with Decimal numbers. Raises JsonError with one line of explanation."""
     try:
-        value = json.loads(text, parse_float=_number, parse_int=_number, parse_constant=_constant, object_pairs_hook=_checked)
+        value = _decoder.decode(text)
     except JsonError:
         raise
     except RecursionError:
@@ -68,8 +69,7 @@ def number_text(value: Decimal) -> str:
     return text.lstrip("-") if not value else text
 
 
-def string_text(value: str) -> str:
-    return '"' + _TO_ESCAPE.sub(lambda m: _ESCAPES.get(m[0]) or f"\\u{ord(m[0]):04x}", value) + '"'
+string_text = json.encoder.encode_basestring  # quotes, backslashes and control characters escaped
 
 
 def key_order(key: str) -> tuple[int, bytes]:
@@ -77,19 +77,32 @@ def key_order(key: str) -> tuple[int, bytes]:
     return len(data), data
 
 
+def _ordered(keys: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Keys in their order, each with the text that precedes its value."""
+    return [(k, string_text(k) + ": ") for k in sorted(keys, key=key_order)]
+
+
+_ordered_before = functools.lru_cache(256)(_ordered)
+
+
+def _members(value: dict) -> list[tuple[str, str]]:
+    """Documents of a column share few shapes; those of bounded size are kept."""
+    keys = tuple(value)
+    return (_ordered_before if len(keys) <= 32 and len("".join(keys)) <= 1024 else _ordered)(keys)
+
+
 def dump(value: Any) -> str:
     """The canonical text: keys by length and bytes, numbers with their scale, ', ' and ': '."""
-    if value is None:
-        return "null"
-    if value is True or value is False:
-        return "true" if value else "false"
-    if isinstance(value, Decimal):
-        return number_text(value)
-    if isinstance(value, str):
+    kind = type(value)
+    if kind is str:
         return string_text(value)
-    if isinstance(value, list):
+    if kind is Decimal:
+        return number_text(value)
+    if kind is dict:
+        return "{" + ", ".join([start + dump(value[k]) for k, start in _members(value)]) + "}"
+    if kind is list:
         return "[" + ", ".join(map(dump, value)) + "]"
-    return "{" + ", ".join(f"{string_text(k)}: {dump(value[k])}" for k in sorted(value, key=key_order)) + "}"
+    return "null" if value is None else "true" if value else "false"
 
 
 def canonical(text: str) -> str:
@@ -137,7 +150,7 @@ def at_path(value: Any, path: list[str | None]) -> Any:
             return MISSING
         if isinstance(value, dict):
             value = field(value, step)
-        elif isinstance(value, list) and re.fullmatch(r"\s*[+-]?\d+", step):
+        elif isinstance(value, list) and _ARRAY_STEP.fullmatch(step):
             value = element(value, int(step))
         else:
             return MISSING

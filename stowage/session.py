@@ -30,8 +30,8 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of few splits dealt out to all cores, before work that costs far more than the rows' way
-    there. Scans with a quarter as many splits as cores stay as they are."""
+    """A scan with fewer splits than cores dealt out to all of them, before work that costs far more than
+    the rows' way there (splits of one row group leave all but one task empty). Larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if 4 * splits < cores else df
+    return df.repartition(cores) if splits < cores else df
