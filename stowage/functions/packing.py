@@ -82,8 +82,17 @@ def counted(held: Dictionaries):
     return around
 
 
-def _dictionaries(source: Registry | Dictionaries | None) -> Dictionaries:
-    return source if isinstance(source, Dictionaries) else Dictionaries(source)
+def _dictionaries(source: Registry | Dictionaries | None, ids: set[int] | None = None) -> Dictionaries:
+    """The snapshot to use: as long as a registry holds the same dictionaries, all columns share one broadcast."""
+    if source is None or isinstance(source, Dictionaries):
+        return source or Dictionaries()
+    key = tuple(e.dict_id for e in source.entries() if ids is None or e.dict_id in ids)
+    if key not in source.sent:
+        made = Dictionaries(source, ids)
+        while len(source.sent) >= 4:
+            del source.sent[next(iter(source.sent))]
+        source.sent[key] = made
+    return source.sent[key]
 
 
 def _kind(name: str) -> int:
@@ -136,7 +145,7 @@ def _target(policy: Policy | str | None, registry: Registry | None, strict: bool
 def _pack(c: Column | str, kind_name: str, policy: Policy | str | None, registry: Registry | None, soft: bool) -> Column:
     kind = _kind(kind_name)
     policy, dict_id = _target(policy, registry)
-    held = Dictionaries(registry, {dict_id}) if dict_id else Dictionaries()
+    held = _dictionaries(registry, {dict_id}) if dict_id else Dictionaries()
     level = policy.level
 
     def rows(values: pa.Array) -> tuple[list[Stored | None], list[str | None]]:
@@ -305,14 +314,14 @@ def coerce(c, policy: Policy | str | None, registry: Registry | None = None) ->
     c = as_column(c)
     policy, dict_id = _target(policy, registry)
     stays = (c["level"] == policy.level) & F.when(c["codec"] == 1, c["dict_id"] == dict_id).otherwise(F.lit(dict_id == 0) | (c["rawlen"] < 64))
-    made = _rewritten(c, c.isNotNull() & ~stays, None, policy, dict_id, Dictionaries(registry))
+    made = _rewritten(c, c.isNotNull() & ~stays, None, policy, dict_id, _dictionaries(registry))
     return F.when(stays, c).otherwise(made)
 
 
 def recompress(c, level: int = 6, slot: int = 0, registry: Registry | None = None) -> Column:
     """Decodes and encodes every value; a slot that is not registered is an error."""
     policy, dict_id = _target(Policy(level, slot), registry, strict=True)
-    return _rewritten(as_column(c), as_column(c).isNotNull(), None, policy, dict_id, Dictionaries(registry))
+    return _rewritten(as_column(c), as_column(c).isNotNull(), None, policy, dict_id, _dictionaries(registry))
 
 
 def frame(c, portable: bool = False, registry: Registry | Dictionaries | None = None) -> Column:

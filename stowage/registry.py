@@ -14,6 +14,7 @@ import time
 import uuid
 import warnings
 from dataclasses import dataclass
+from typing import Any
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +131,7 @@ class Registry:
         self.folder = Folder(spark, path)
         self._held: dict[str, Entry] = {}
         self._warned: set[int] = set()
+        self.sent: dict[tuple[int, ...], Any] = {}  # the last few snapshots that were broadcast, by their ids
 
     def reload(self) -> None:
         self._held.clear()

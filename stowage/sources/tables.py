@@ -1,13 +1,16 @@
 """Packed tables: Parquet folders whose columns keep a policy, with deferred policy changes.
 
 Policies live in field metadata and, as the authority, in a small file ``_policies.json`` beside the
-data (Spark skips names that begin with an underscore). Data files are only added or swapped whole.
+data (Spark skips names that begin with an underscore). Data files are only added or replaced whole: a
+rewrite puts new files into a folder of its own, and the small file then names it and the files it replaces.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,15 @@ from stowage.policy import DEFAULT, Policy, PolicyError
 from stowage.registry import Folder, Registry
 
 POLICIES = "_policies.json"
+PART = re.compile(r"[A-Za-z0-9_.-]+")
+
+
+MOVED = "__part"  # names the part that rewritten rows came from, in their folder's name only
+FILE_NAME = "_metadata.file_name"
+
+
+def _name(file: str) -> str:
+    return file.rsplit("/", 1)[1]
 
 
 def packed_columns(df: DataFrame) -> dict[str, tuple[str, Policy | None]]:
@@ -51,7 +63,7 @@ class PackedTable:
 
     def _held(self) -> dict:
         raw = self.folder.read(POLICIES)
-        return json.loads(raw) if raw else {"columns": {}, "data": None}
+        return {"rewritten": [], "gone": []} | (json.loads(raw) if raw else {"columns": {}, "data": None})
 
     def _hold(self, held: dict) -> None:
         self.folder.write(POLICIES, json.dumps(held).encode(), replace=True)
@@ -62,7 +74,9 @@ class PackedTable:
     def write(self, df: DataFrame, policies: dict[str, tuple[str, Policy | str | None]] | None = None, uncompressed: bool = False, part: str | None = None) -> None:
         """Writes or appends. The first write declares the policies; later ones follow them.
         ``uncompressed``: leaves Parquet's own compression off, as payloads are compressed already.
-        ``part``: a name for these rows; a second write of a part replaces it whole."""
+        ``part``: a name for these rows (letters, digits, ``_.-``); a second write of a part replaces it whole."""
+        if part is not None and not PART.fullmatch(part):
+            raise PolicyError(f"a part can't be named {part!r}")
         held = self._held()
         if policies is not None:
             if held["columns"]:
@@ -77,10 +91,18 @@ class PackedTable:
             self.registry.new_write()
         made = apply_policies(df, self.policies(), self.registry)
         made.write.mode("append" if part is None else "overwrite").option("compression", "none" if uncompressed else "zstd").parquet(held["data"] + (f"/part-{part}" if part else ""))
+        if part and held["rewritten"]:
+            self._publish([f for f in self._files() if f"/{MOVED}={part}/" in f])
+
+    def _stored(self) -> DataFrame:
+        """The rows of all files but replaced ones, which Spark leaves out when it lists files."""
+        held = self._held()
+        df = self.spark.read.option("recursiveFileLookup", "true").parquet(held["data"], *held["rewritten"])
+        return df.where(~F.col(FILE_NAME).isin(held["gone"])) if held["gone"] else df
 
     def read(self) -> DataFrame:
-        df = self.spark.read.option("recursiveFileLookup", "true").parquet(self._held()["data"])
-        return df.select(*[named(F.col(c), c, *self.policies()[c]) if c in self.policies() else F.col(f"`{c}`") for c in df.columns])
+        df, policies = self._stored(), self.policies()
+        return df.select(*[named(F.col(c), c, *policies[c]) if c in policies else F.col(f"`{c}`") for c in df.columns])
 
     def logical(self) -> DataFrame:
         """The table with plain values: what an export or a dump carries."""
@@ -119,26 +141,62 @@ class PackedTable:
         self._hold(held)
         return True
 
-    def _swap(self, df: DataFrame) -> None:
-        """Writes the rows beside the old data and then points the table at them."""
+    def _files(self) -> list[str]:
+        gone = set(self._held()["gone"])
+        return [f for f in self._stored().inputFiles() if _name(f) not in gone]
+
+    def _publish(self, replaced: list[str], folder: str | None = None) -> None:
         held = self._held()
-        held["data"] = f"{self.path}/data-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(held["data"])
+        held["gone"] = sorted({*held["gone"], *map(_name, replaced)})
+        held["rewritten"] += [folder] if folder else []
         self._hold(held)
 
+    def _replace(self, files: list[str], change: Callable[[DataFrame], list]) -> None:
+        """Writes the rows of some files as ``change`` makes them into a folder beside, then lets them take the
+        files' place. Rows that others append meanwhile stay; if another write replaced one of the files, nothing
+        is published."""
+        names, folder = {_name(f) for f in files}, f"{self.path}/data-{uuid.uuid4().hex}"
+        df = self._stored().where(F.col(FILE_NAME).isin(sorted(names)))
+        part = F.regexp_extract(F.col("_metadata.file_path"), rf"/(?:part-|{MOVED}=)([^/]+)/[^/]+$", 1)
+        parted = any(f"/{MOVED}=" in f or "/part-" in f.rsplit("/", 1)[0] for f in files)
+        made = df.select(*change(df), *([F.when(part == "", "(none)").otherwise(part).alias(MOVED)] if parted else []))
+        writer = made.write.option("compression", "zstd")
+        (writer.partitionBy(MOVED) if parted else writer).parquet(folder)
+        if not names <= {_name(f) for f in self._files()}:
+            self.folder.fs.delete(self.folder._path(folder.rsplit("/", 1)[1]), True)
+            raise PolicyError("another write replaced some of the files meanwhile; run it again")
+        self._publish(files, folder)
+
+    def vacuum(self) -> int:
+        """Deletes the files that rewrites have replaced, for good; no reader may still use them. Gives their number."""
+        held = self._held()
+        gone, removed = set(held["gone"]), 0
+        for f in self._stored().inputFiles():
+            if _name(f) in gone:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(f))
+                removed += bool(self.folder.fs.delete(path, False))
+        held = self._held()
+        held["gone"] = [n for n in held["gone"] if n not in gone]
+        self._hold(held)
+        return removed
+
     def catch_up(self, column: str, batches: int = 1, batch: int = 0) -> int:
-        """Rewrites what is behind, a slice of the rows by hash at a time, so that it can stop and go on.
-        Gives the number of values rewritten; a second call finds none."""
-        policy = self.policies()[column][1] or DEFAULT
-        df = self.read()
-        c = df[column]
-        turn = F.pmod(F.xxhash64(c["payload"]), F.lit(batches)) == batch
-        do = c["rawlen"].isNotNull() & ~matches_policy(c, policy.level, policy.slot, self.registry) & turn
-        n = df.where(do).count()
-        if n:
-            made = F.when(do, coerce(c, policy, self.registry)).otherwise(c)
-            self._swap(df.select(*[named(made, x, *self.policies()[x]) if x == column else df[x] for x in df.columns]))
-        return n
+        """Rewrites the files that hold values behind the policy, and no others; a slice of the files by hash
+        at a time, so that it can stop and go on. Gives the number of values rewritten; a second call finds
+        none. The driver sees a row a file, as it does when Spark lists them."""
+        policies = self.policies()
+        kind, policy = policies[column][0], policies[column][1] or DEFAULT
+
+        def behind(c):
+            return c["rawlen"].isNotNull() & ~matches_policy(c, policy.level, policy.slot, self.registry)
+
+        df = self._stored()
+        turn = F.pmod(F.xxhash64(F.col(FILE_NAME)), F.lit(batches)) == batch
+        found = df.where(turn & behind(df[column])).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).collect()
+        if found:
+            put = lambda df: F.when(behind(df[column]), coerce(df[column], policy, self.registry)).otherwise(df[column])
+            self._replace([r["file"] for r in found], lambda df: [named(put(df), x, kind, policies[column][1]) if x == column else df[x] for x in df.columns])
+        return sum(r["n"] for r in found)
 
     def repack(self, column: str, policy: Policy | str) -> bool:
         """ALTER TYPE: rewrites the column under a policy; nothing to do where it is declared already."""
@@ -147,8 +205,7 @@ class PackedTable:
         kind, old = self.policies()[column]
         if old == policy:
             return False
-        df = self.read()
-        self._swap(df.select(*[named(coerce(df[x], policy, self.registry), x, kind, policy) if x == column else df[x] for x in df.columns]))
+        self._replace(self._files(), lambda df: [named(coerce(df[x], policy, self.registry), x, kind, policy) if x == column else df[x] for x in df.columns])
         held = self._held()
         held["columns"][column] |= {"level": policy.level, "slot": policy.slot, "pending": policy.pending}
         self._hold(held)

@@ -196,6 +196,61 @@ def test_table_policies(spark, tmp_path, registry):
     assert {r[0] for r in table.read().select("body.level").collect()} == {3}
 
 
+def test_catch_up_rewrites_only_files_that_are_behind(spark, tmp_path, registry):
+    table = T.PackedTable(spark, str(tmp_path / "table"), registry)
+    rows = lambda a, b: spark.createDataFrame([(i, f"sample subject {i} " * 20) for i in range(a, b)], "i int, body string")
+    table.write(rows(0, 40).repartition(8), {"body": ("text", "(6)")})
+    before = set(table._files())
+    table.set_policy("body", 9)
+    table.write(rows(40, 50).coalesce(1))  # on the new policy already
+    fresh = set(table._files()) - before
+    done = [table.catch_up("body", 3, n) for n in range(3)]
+    assert sum(done) == 40 and sum(map(bool, done)) > 1  # a slice at a time
+    assert fresh <= set(table._files()) and not before & set(table._files())
+    assert table.catch_up("body") == 0 and table.finish_policy("body")
+    assert sorted(r["i"] for r in table.logical().collect()) == list(range(50))
+    assert table.vacuum() == len(before) and table.vacuum() == 0 and table.read().count() == 50
+
+
+def test_rewrites_keep_what_others_append_and_refuse_what_others_replaced(spark, tmp_path, registry, monkeypatch):
+    table = T.PackedTable(spark, str(tmp_path / "table"), registry)
+    rows = lambda a, b: spark.createDataFrame([(i, f"sample subject {i} " * 20) for i in range(a, b)], "i int, body string")
+    table.write(rows(0, 5), {"body": ("text", "(6)")})
+    table.write(rows(5, 9), part="one")
+
+    def change(meanwhile):
+        def run(df):
+            meanwhile()
+            return [df[c] for c in df.columns]
+
+        return run
+
+    table._replace(table._files(), change(lambda: table.write(rows(9, 12))))
+    assert sorted(r["i"] for r in table.logical().collect()) == list(range(12))
+    table.write(rows(5, 8), part="one")  # after its rows moved: replaced whole all the same
+    assert sorted(r["i"] for r in table.logical().collect()) == [*range(8), *range(9, 12)]
+    files, look = table._files(), table._files
+
+    def late():  # the new files are written, but not yet published
+        monkeypatch.setattr(table, "_files", look)
+        table.write(rows(5, 7), part="one")
+        return look()
+
+    monkeypatch.setattr(table, "_files", late)
+    with pytest.raises(ValueError, match="meanwhile"):
+        table._replace(files, lambda df: [df[c] for c in df.columns])
+    assert sorted(r["i"] for r in table.logical().collect()) == [*range(7), *range(9, 12)]
+    with pytest.raises(ValueError, match="named"):
+        table.write(rows(0, 1), part="a/b")
+
+
+def test_columns_share_one_snapshot(spark, registry):
+    held = P._dictionaries(registry)
+    assert P._dictionaries(registry) is held and P._dictionaries(held) is held and P._dictionaries(registry, {registry.entries()[0].dict_id}) is not held
+    registry.reload()
+    assert P._dictionaries(registry) is held and P._dictionaries(None).sent is None
+
+
 def test_partition_pruning_plan(spark, tmp_path):
     path = str(tmp_path / "p")
     T.partitioned_write(spark.createDataFrame([(str(i % 7),) for i in range(100)], "k string"), "k", path, 4)
