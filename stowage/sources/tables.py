@@ -12,7 +12,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions.packing import PACKED_TYPE, _pack, coerce, matches_policy, named, unpack
@@ -25,6 +25,7 @@ PART = re.compile(r"[A-Za-z0-9_.-]+")
 
 MOVED = "__part"  # names the part that rewritten rows came from, in their folder's name only
 FILE_NAME = "_metadata.file_name"
+CORRUPT = "__corrupt"
 
 
 def _name(file: str) -> str:
@@ -94,6 +95,31 @@ class PackedTable:
         if part and held["rewritten"]:
             self._publish([f for f in self._files() if f"/{MOVED}={part}/" in f])
 
+    def ingest(self, path: str, schema: str, form: str = "csv", on_error: str = "stop", policies: dict[str, tuple[str, Policy | str | None]] | None = None, **options) -> int:
+        """Appends text files (``csv``, or ``json`` with a document a line) whose fields hold plain values.
+        ``on_error``: "stop" raises at the first row that can't be read or packed and stores nothing, "ignore"
+        skips such rows whole. Gives the number of rows skipped. A part that is written again after a lost
+        executor counts once."""
+        if on_error not in ("stop", "ignore"):
+            raise PolicyError(f"on_error is stop or ignore, not {on_error!r}")
+        if form not in ("csv", "json"):
+            raise PolicyError(f"files of form {form!r} are not read here")
+        reader = self.spark.read.format(form).options(**options)
+        if on_error == "stop":
+            self.write(reader.schema(schema).option("mode", "FAILFAST").load(path), policies)
+            return 0
+        df = reader.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).load(path)
+        names = [c for c in df.columns if c != CORRUPT]
+        declared = self.policies() or {c: (kind, Policy.parse(p, self.registry.slot if self.registry else None) if isinstance(p, str) else p) for c, (kind, p) in (policies or {}).items()}
+        tried = df.select(CORRUPT, *[_pack(df[c], *declared[c], self.registry, True).alias(c) if c in declared else df[c] for c in names])
+        bad = F.col(CORRUPT).isNotNull()
+        for c in declared:
+            bad = bad | F.col(c)["problem"].isNotNull()
+        seen = Observation()
+        kept = tried.observe(seen, F.count_if(bad).alias("skipped")).where(~bad)  # no filter moves below an observation, so that a value is packed once
+        self.write(kept.select(*[F.col(c)["value"].alias(c) if c in declared else F.col(c) for c in names]), policies)
+        return seen.get["skipped"]
+
     def _stored(self) -> DataFrame:
         """The rows of all files but replaced ones, which Spark leaves out when it lists files."""
         held = self._held()

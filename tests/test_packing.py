@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stowage.codec import MAGIC
 from stowage.functions import documents as D
 from stowage.functions import packing as P
+from stowage.operators import analyze as A
 from stowage.operators import relational as R
 from stowage.policy import Policy
 from stowage.registry import Folder, Registry, RegistryError, train_dictionary
@@ -244,6 +245,30 @@ def test_rewrites_keep_what_others_append_and_refuse_what_others_replaced(spark,
         table.write(rows(0, 1), part="a/b")
 
 
+def test_ingest_of_files_skips_bad_rows(spark, tmp_path, registry):
+    (tmp_path / "rows.csv").write_text('1;{"b": 1, "a": 2};x\n2;{broken;x\n3;;y\nno;{};z\n5;[1];w\n')
+    table = T.PackedTable(spark, str(tmp_path / "table"), registry)
+    policies = {"meta": ("json", "(9,first)"), "body": ("text", "(3)")}
+    with pytest.raises(Exception, match="(?i)json|malformed"):
+        table.ingest(str(tmp_path / "rows.csv"), "id int, meta string, body string", policies=policies, sep=";")
+    table = T.PackedTable(spark, str(tmp_path / "other"), registry)
+    assert table.ingest(str(tmp_path / "rows.csv"), "id int, meta string, body string", on_error="ignore", policies=policies, sep=";") == 2
+    assert [tuple(r) for r in table.logical().orderBy("id").collect()] == [(1, '{"a": 2, "b": 1}', "x"), (3, None, "y"), (5, "[1]", "w")]
+    (tmp_path / "rows.json").write_text('{"id": 6, "meta": "{}", "body": "v"}\n{"id": 7, "meta\n{"id": 8, "meta": "1 2"}\n')
+    assert table.ingest(str(tmp_path / "rows.json"), "id int, meta string, body string", "json", "ignore") == 2
+    assert table.read().count() == 4 and table.behind("meta").count() == table.behind("body").count() == 0
+    for given in ({"on_error": "maybe"}, {"form": "orc"}):
+        with pytest.raises(ValueError):
+            table.ingest("x", "id int", **given)
+
+
+def test_dictionary_report_of_the_tail(spark):
+    df = spark.range(1200).selectExpr("id", "if(id % 100 = 7, null, concat('sample subject ', id, ' of the tail, stored with a dictionary of its own ', md5(cast(id as string)))) as v")
+    rows = A.dictionary_report(df, "v", levels=(1, 3), dict_bytes=2048, tail="id").collect()
+    assert {r["level"] for r in rows} == {1, 3} and all(r["n_values"] == 297 for r in rows)  # the last 300, three of them null
+    assert all(0 < r["dictionary_bytes"] < r["plain_bytes"] and r["payback_values"] > 0 and min(r[c] for c in A.COSTS) > 0 for r in rows)
+
+
 def test_columns_share_one_snapshot(spark, registry):
     held = P._dictionaries(registry)
     assert P._dictionaries(registry) is held and P._dictionaries(held) is held and P._dictionaries(registry, {registry.entries()[0].dict_id}) is not held
