@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.codec import KINDS, Codec, dictionary_id
-from stowage.functions.packing import Dictionaries, _dictionaries, dictionary_id_of, equality_key, kind_name, logical_bytes
+from stowage.functions.packing import Dictionaries, _dictionaries, _pack, dictionary_id_of, equality_key, kind_name, logical_bytes
+from stowage.policy import Policy
 from stowage.registry import Registry, train_dictionary
 
 WIDE = 1024  # longer values are not decoded; each counts as a distinct one
@@ -36,11 +37,15 @@ def analyze_packed(df: DataFrame, column: str, kind: str = "text", registry: Reg
     )
 
 
-def most_common_values(df: DataFrame, column: str, kind: str = "text", registry: Registry | Dictionaries | None = None, most_common: int = 100) -> DataFrame:
-    """(value, n): the values of at most WIDE bytes that repeat, most common first."""
+def most_common_values(df: DataFrame, column: str, kind: str = "text", registry: Registry | Dictionaries | None = None, most_common: int = 100, policy: Policy | str | None = None) -> DataFrame:
+    """(value, n): the values of at most WIDE bytes that repeat, most common first. With a ``policy`` each
+    is packed anew under it, whatever stored its rows (a JSON value from its equality key, which is equal)."""
     held = _dictionaries(registry)
     narrow = df.where(df[column]["rawlen"] <= WIDE).select(equality_key(df[column], kind, held).alias("value"))
-    return narrow.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "value").limit(most_common)
+    found = narrow.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "value").limit(most_common)
+    if policy is None:
+        return found
+    return found.select(_pack(found["value"], kind, policy, registry if isinstance(registry, Registry) else None, False).alias("value"), "n")
 
 
 def inspect_packed(df: DataFrame, column: str, registry: Registry) -> DataFrame:

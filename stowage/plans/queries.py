@@ -326,6 +326,19 @@ def tolerant_ingest(spark, sf_dir):
     return rows.select("event_id", P.unpack(F.col("r.value"), "json").alias("props"), F.col("r.problem").isNotNull().alias("refused"))
 
 
+@query("select event_id, props, 5 as level from events where event_id % 3 <> 0")
+def file_ingest(spark, sf_dir):
+    """Files of JSON lines into a packed table, less the rows whose document is broken."""
+    events = read_table(spark, sf_dir, "events")
+    props = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{broken "), "props")).otherwise(F.col("props"))
+    lines = fresh(spark, "lines")
+    events.select(F.to_json(F.struct("event_id", props.alias("props"))).alias("line")).write.text(lines)
+    table = T.PackedTable(spark, fresh(spark, "ingested"))
+    table.ingest(lines, "event_id long, props string", "json", "ignore", {"props": ("json", "(5)")})
+    stored = table.read()
+    return stored.select("event_id", P.unpack(stored["props"], "json").alias("props"), stored["props"]["level"].cast("int").alias("level"))
+
+
 def _table(spark, sf_dir, policy, registry) -> T.PackedTable:
     table = T.PackedTable(spark, fresh(spark, "table"), registry)
     table.write(read_table(spark, sf_dir, "documents").select("doc_id", "text"), {"text": ("text", policy)})
@@ -384,6 +397,12 @@ def most_common_values(spark, sf_dir):
     return A.most_common_values(docs_of(spark, sf_dir).select("body"), "body")
 
 
+@query("select text as value, count(*) as n, 9 as level from documents where strlen(text) <= 1024 group by text having count(*) > 1 order by n desc, text limit 100")
+def most_common_values_packed(spark, sf_dir):
+    top = A.most_common_values(docs_of(spark, sf_dir).select("body"), "body", policy="(9)")
+    return top.select(P.unpack("value").alias("value"), "n", F.col("value.level").cast("int").alias("level"))
+
+
 @query("select c_custkey, c_mktsegment from customer where c_mktsegment = 'BUILDING'")
 def partition_pruning(spark, sf_dir):
     path = fresh(spark, "parts")

@@ -269,6 +269,17 @@ def test_dictionary_report_of_the_tail(spark):
     assert all(0 < r["dictionary_bytes"] < r["plain_bytes"] and r["payback_values"] > 0 and min(r[c] for c in A.COSTS) > 0 for r in rows)
 
 
+def test_most_common_values_under_a_policy(spark, registry):
+    texts = [f"sample subject {i % 3} " * 9 for i in range(10)] + ["once", None]
+    df = rows_of(spark, texts).select(P.pack_text("v", "(1)").alias("c"))
+    top = A.most_common_values(df, "c", registry=registry, policy="(9,first)")
+    rows = top.select(P.unpack("value", "text", registry).alias("v"), "n", "value.level", P.dictionary_id_of("value").alias("d")).collect()
+    first = next(e.dict_id for e in registry.entries() if e.name == "first")
+    assert [tuple(r) for r in rows] == [(texts[0], 4, 9, first), (texts[1], 3, 9, first), (texts[2], 3, 9, first)]
+    doc = rows_of(spark, ['{"a": 1.0, "b": "x"}', '{"b":"x","a":1}', "null"]).select(P.pack_json("v").alias("c"))
+    assert [tuple(r) for r in A.most_common_values(doc, "c", "json", policy="(3)").select(P.unpack("value", "json"), "n").collect()] == [('{"a": 1, "b": "x"}', 2)]
+
+
 def test_columns_share_one_snapshot(spark, registry):
     held = P._dictionaries(registry)
     assert P._dictionaries(registry) is held and P._dictionaries(held) is held and P._dictionaries(registry, {registry.entries()[0].dict_id}) is not held
